@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, tokens
+from . import bpe, chat, mixing, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_chat_format": chat.op3_chat_format,
+        "op5_url_filter": urls.op5_url_filter,
+        "op6_mix": mixing.op6_mix,
         "op7_token_counts": tokens.op7_token_counts,
         "op10_bpe": bpe.op10_bpe,
     }
