@@ -91,23 +91,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: bytes | memoryview | np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word of UTF-8 bytes, in order. Bytes of the six spaces never occur inside a code point."""
-    b = np.frombuffer(raw, np.uint8)
-    if not len(b):
-        return np.zeros(0, np.uint64)
-    if lower:
-        b = _LOWER[b]
+def word_spans(b: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of UTF-8 bytes start and end. The bytes of the six spaces never occur inside a code point."""
     inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[b]
+    inside[1:-1] = ~outside[b]
     edge = np.diff(inside)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, which depends on its bytes alone and not on where it stands."""
     power, inverse = _power_tables(len(b) + 1)
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_BYTE[b] * power[: len(b)], out=total[1:])
     return mix64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+def word_hashes(raw: bytes | memoryview | np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word of UTF-8 bytes, in order; lower: A-Z count as a-z."""
+    b = np.frombuffer(raw, np.uint8)
+    if not len(b):
+        return np.zeros(0, np.uint64)
+    if lower:
+        b = _LOWER[b]
+    return span_hashes(b, *word_spans(b))
+
+
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of width words; with fewer words, of the whole sequence; none without words."""
     if not len(words):
@@ -120,6 +129,16 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix64(out)
 
 
+_NO_LETTER = np.ones(256, dtype=bool)
+_NO_LETTER[[*range(97, 123), *range(128, 256)]] = False
+
+
+def letter_words(raw: bytes | memoryview) -> np.ndarray:
+    """Hashes of the runs of letters (a-z with A-Z folded, and all beyond ASCII), in order."""
+    b = _LOWER[np.frombuffer(raw, np.uint8)]
+    return span_hashes(b, *word_spans(b, _NO_LETTER)) if len(b) else np.zeros(0, np.uint64)
+
+
 def texts_of(column: pa.Array) -> Iterator[memoryview]:
     """The UTF-8 bytes of each value of a string column without copies; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

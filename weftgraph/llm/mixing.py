@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, small_batches, table, texts_of
+from .common import WORD, cut, small_batches, table, texts_of, word_spans
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -199,11 +199,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def _slices(raw: bytes, firsts: list[int], lasts: list[int]) -> str:
-    b = np.frombuffer(raw, np.uint8)
-    inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = ~((b == 32) | ((b >= 9) & (b <= 13)))
-    edge = np.diff(inside)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    start, end = word_spans(np.frombuffer(raw, np.uint8))
     runs: list[list[int]] = []
     for a, z in zip(firsts, lasts):
         if runs and runs[-1][1] == a - 1:

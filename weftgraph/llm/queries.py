@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, tokens, urls
+from . import bpe, chat, mixing, quality, simhash, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_chat_format": chat.op3_chat_format,
+        "op4_quality_rules": quality.op4_quality_rules,
         "op5_url_filter": urls.op5_url_filter,
         "op6_mix": mixing.op6_mix,
         "op7_token_counts": tokens.op7_token_counts,
+        "op9_fingerprints": simhash.op9_fingerprints,
         "op10_bpe": bpe.op10_bpe,
     }
 
