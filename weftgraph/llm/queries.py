@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, quality, simhash, tokens, toxicity, urls
+from . import bpe, chat, mixing, near_dedup, quality, simhash, tokens, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": near_dedup.op1_near_dedup,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_chat_format": chat.op3_chat_format,
         "op4_quality_rules": quality.op4_quality_rules,
