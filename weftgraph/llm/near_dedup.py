@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, mix64, shingle_hashes, small_batches, table, texts_of, word_hashes
+from .common import WORD, cut, mix64, shingle_hashes, small_batches, table, texts_of, word_hashes
 from .components import components
 
 WIDTH = 5
@@ -230,3 +230,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document; similarity 0.85 or more."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
+def keep_firsts(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """docs without all but one row of each group of near-duplicates: that with the smallest id, of several with that
+    id and the group's any one. Rows without words link with nothing and stay, rows without an id too."""
+    found = near_duplicates(docs, percent).select("doc_id", "kept").filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    left = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    # Repeated rows share an id, so all of them are first; no word: they link with nothing.
+    wordless = ~F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False)) | F.col("doc_id").isNull()
+    return left.filter(wordless).unionByName(left.filter(~wordless).dropDuplicates(["doc_id"]))

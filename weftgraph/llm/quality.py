@@ -128,23 +128,55 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[
     return posterior, on_good, on_bad, float(share)
 
 
-def judge_quality(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with STATISTICS, p_quality, base_failed and kept in place of the text."""
-    spark = df.sparkSession
-    own = [c for c in df.columns if c != text and c not in (*STATISTICS, "p_quality", "base_failed", "kept", "_votes")]
-    counted = cut(statistics(df.select(*own, text), text), "quality")
-    pattern = F.concat_ws(",", *(v.cast("string") for v in rules().values()))
-    voted = counted.withColumn("_votes", pattern)
+def _learn(voted: DataFrame) -> DataFrame:
+    """p_quality for each pattern of _votes."""
     found = voted.groupBy("_votes").agg(F.count("*").alias("n")).collect()
     found.sort(key=lambda r: r["_votes"])
     votes = np.array([[int(x) for x in r["_votes"].split(",")] for r in found], np.int64).reshape(len(found), len(rules()))
     posterior = estimate(votes, np.array([r["n"] for r in found], float))[0] if found else []
-    known = spark.createDataFrame([(r["_votes"], float(p)) for r, p in zip(found, posterior)], "_votes string, p_quality double")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = voted.join(F.broadcast(known), "_votes").drop("_votes").withColumn("base_failed", failed)
+    return voted.sparkSession.createDataFrame([(r["_votes"], float(p)) for r, p in zip(found, posterior)], "_votes string, p_quality double")
+
+
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _pattern() -> Column:
+    return F.concat_ws(",", *(v.cast("string") for v in rules().values()))
+
+
+def judge_quality(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with STATISTICS, p_quality, base_failed and kept in place of the text."""
+    own = [c for c in df.columns if c != text and c not in (*STATISTICS, "p_quality", "base_failed", "kept", "_votes")]
+    counted = cut(statistics(df.select(*own, text), text), "quality")
+    voted = counted.withColumn("_votes", _pattern())
+    # Patterns number 3 to the power of the rules at most: a broadcast of bounded size.
+    judged = voted.join(F.broadcast(_learn(voted)), "_votes").drop("_votes").withColumn("base_failed", _base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_quality") >= KEEP_AT))
 
 
+def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs without the rows that aren't kept. Texts are measured twice, once to count votes and once to filter, so
+    that none is shuffled or written."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    voted = cut(statistics(docs.select(text), text), "votes").withColumn("_votes", _pattern())
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"_{c}", T.LongType()) for c in STATISTICS)])
+    at = names.index(text)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([statistics_of(x) for x in texts_of(batch.column(at).cast(pa.string()))], np.int64).reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, k]) for k in range(len(STATISTICS)))], names=schema.names)
+
+    measured = docs.mapInArrow(measure, schema)
+    # The statistics under their own names beside the row itself, whatever its columns are called.
+    whole = measured.select(F.struct(*names).alias("_row"), *(F.col(f"_{c}").alias(c) for c in STATISTICS)).withColumn("_votes", _pattern())
+    judged = whole.join(F.broadcast(_learn(voted)), "_votes").filter(~_base_failed() & (F.col("p_quality") >= KEEP_AT))
+    return judged.select("_row.*")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the five base statistics, base_failed, kept and p_quality for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

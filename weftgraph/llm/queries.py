@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, near_dedup, quality, simhash, tokens, toxicity, urls
+import corpus_pipeline
+
+from . import bpe, chat, licences, mixing, near_dedup, quality, simhash, tokens, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,10 +20,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filter": urls.op5_url_filter,
         "op6_mix": mixing.op6_mix,
         "op7_token_counts": tokens.op7_token_counts,
+        "op8_licences": licences.op8_licences,
         "op9_fingerprints": simhash.op9_fingerprints,
         "op10_bpe": bpe.op10_bpe,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
