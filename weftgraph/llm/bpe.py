@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,35 +31,26 @@ from .tokens import default_path
 
 KEPT_WORDS = 450_000
 KEPT_PAIRS = 500_000
-#: The Unicode white space that the vocabulary's pattern drops.
-_SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACES}\p{{L}}\p{{N}}]+"
 _END = "\0"  # stands behind the last symbol of a word inside the automaton; byte-level symbols never hold it
 
 
-def _byte_symbols() -> list[str]:
-    """The printable character that stands for each byte: itself where printable, else from U+0100 on, in order."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = iter(range(256, 512))
-    return [chr(b if b in plain else next(others)) for b in range(256)]
-
-
 class PrefixBpe:
     """Encoder and decoder of a word-wise BPE vocabulary file with an end-of-word suffix."""
 
     def __init__(self, path: str):
         import ahocorasick
-        import regex
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.split_specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")")
-        self.pre_token = regex.compile(_PRE_TOKEN)
+        self.split_specials = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")")
+        # Normalisation and pre-tokens are the file's own: which characters are letters depends on a Unicode version.
+        library = Tokenizer.from_file(path)
+        self.normalise, self.pre_tokens = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.tokens = {i: t for t, i in (self.vocab | self.specials).items()}
-        self.symbols = _byte_symbols()
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.rank: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
@@ -138,17 +129,13 @@ class PrefixBpe:
         return out
 
     def encode_text(self, text: str) -> list[int]:
-        """Ids of any text: special strings, then normalisation, pre-tokens and the table."""
+        """Ids of any text: special strings, then normalisation and pre-tokens, then the table."""
         out = []
         for part in self.split_specials.split(text):
             if part in self.specials:
                 out.append(self.specials[part])
                 continue
-            part = "".join([c.lower() for c in unicodedata.normalize("NFC", part)])
-            for piece in self.pre_token.findall(part):
-                word = piece if piece.isascii() else "".join([self.symbols[b] for b in piece.encode()])
-                if not word.isprintable():
-                    word = "".join([self.symbols[b] for b in piece.encode()])
+            for word, _ in self.pre_tokens(self.normalise(part)):
                 out += self.encode_word(word)
         return out
 
