@@ -182,7 +182,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     parts = segments(mix).filter("block IS NOT NULL").join(mix.draws.select("src", "block", "pass"), ["src", "block"])
     runs = parts.groupBy("doc_id", "h", "copy", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_runs"))
     keyed = docs.withColumn("_h", F.xxhash64(*docs.columns)).dropDuplicates(["doc_id", "_h"])
-    both = keyed.join(runs.withColumnsRenamed({"doc_id": "_id", "h": "_h2"}), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_h") == F.col("_h2")))
+    both = keyed.join(runs.withColumnsRenamed({"doc_id": "_id", "h": "_h2", "copy": "_copy", "pass": "_pass"}), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_h") == F.col("_h2")))
     both = both.select(*docs.columns, F.col("_runs.first").alias("_first"), F.col("_runs.last").alias("_last"))
     names = docs.columns
 
