@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import mix64, shingle_hashes, small_batches, table, word_hashes
 
@@ -100,7 +101,10 @@ def with_next(docs: DataFrame, visit, schema: T.StructType) -> DataFrame:
         one = F.array(F.struct(F.col("_at"), F.lit(False).alias("_guest")))
         own = own.withColumn("_to", F.explode(F.when(begins("doc_id"), both).otherwise(one))).select("doc_id", "text", "_to._at", "_to._guest")
     ordered = own.repartitionById(n, F.col("_at")).sortWithinPartitions("_guest", F.col("doc_id").desc_nulls_last(), "text")
-    names = schema.names
+    names, kinds = schema.names, [to_arrow_type(f.dataType) for f in schema]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = held = None
@@ -120,9 +124,9 @@ def with_next(docs: DataFrame, visit, schema: T.StructType) -> DataFrame:
                     first = text
                 held = (doc_id, text)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
+                yield packed(out)
         if held is not None and not done:
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in visit(*held, first)], names=names)
+            yield packed([visit(*held, first)])
 
     return ordered.select("doc_id", "text", "_at", "_guest").mapInArrow(stream, schema)
 
