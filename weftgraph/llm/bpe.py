@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table, texts_of
+from .common import small_batches, table, texts_of, tidy
 from .tokens import default_path
 
-KEPT_WORDS = 450_000
-KEPT_PAIRS = 500_000
+KEPT_WORDS = 220_000
+KEPT_PAIRS = 200_000
 _END = "\0"  # stands behind the last symbol of a word inside the automaton; byte-level symbols never hold it
 
 
@@ -44,32 +44,32 @@ class PrefixBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
-        self.vocab: dict[str, int] = model["vocab"]
+        vocab: dict[str, int] = model["vocab"]
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.split_specials = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")")
         # Normalisation and pre-tokens are the file's own: which characters are letters depends on a Unicode version.
         library = Tokenizer.from_file(path)
         self.normalise, self.pre_tokens = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.tokens = {i: t for t, i in (self.vocab | self.specials).items()}
+        self.tokens = {i: t for t, i in (vocab | self.specials).items()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}  # by left << 32 | right
         self.halves: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}
         for rank, (a, b) in enumerate(merges):
-            left, right, both = self.vocab[a], self.vocab[b], self.vocab[a + b]
-            self.rank.setdefault((left, right), rank)
+            left, right, both = vocab[a], vocab[b], vocab[a + b]
+            self.rank.setdefault(left << 32 | right, rank)
             if both not in self.halves:
                 self.halves[both], self.born[both] = (left, right), rank
         self.edges: tuple[dict, dict] = ({}, {})
         self.automaton = ahocorasick.Automaton()
-        for token, i in self.vocab.items():
+        for token, i in vocab.items():
             ends = token.endswith(suffix)
             core = token[: -len(suffix)] if ends else token
             if i in self.halves and not self.leaves(*self.halves[i], self.born[i]):
                 continue  # merging its own symbols gives something else: never the result of encoding
             self.automaton.add_word(core + _END * ends, (len(core), i))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -92,7 +92,7 @@ class PrefixBpe:
         heads, find = self.edge(right, 0), self.rank.get
         for a, a_born, a_gone in self.edge(left, 1):
             for b, b_born, b_gone in heads:
-                rank = find((a, b))
+                rank = find(a << 32 | b)
                 # Equal ranks merge from the left: the left token's own merge goes first, the right one's after.
                 if rank is not None and rank < before and a_born < rank < a_gone and b_born < rank <= b_gone:
                     return False
@@ -112,12 +112,12 @@ class PrefixBpe:
                 break
             start = at - length
             if start:
-                pair = (last[start], token)
+                pair = last[start] << 32 | token
                 ok = fits.get(pair)
                 if ok is None:
                     if len(fits) >= KEPT_PAIRS:
                         fits.clear()
-                    ok = fits[pair] = self.leaves(*pair)
+                    ok = fits[pair] = self.leaves(last[start], token)
                 if not ok:
                     continue
             last[at], size[at], done = token, length, at if end != n else done
@@ -196,6 +196,8 @@ def _mapped(df: DataFrame, column: str, path: str, outs: dict[str, T.DataType],
         for batch in batches:
             named = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
             yield pa.RecordBatch.from_arrays([*(named[c] for c in rest), *make(bpe, named[column])], names=[*rest, *outs])
+            del batch, named
+        tidy()
 
     return df.select(*rest, column).mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, small_batches, table, texts_of, word_spans
+from .common import WORD, cut, small_batches, table, texts_of, tidy, word_spans
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -194,6 +194,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
             if "n_chars" in out:
                 out["n_chars"] = pa.array([len(t) for t in texts], pa.int64()).cast(out["n_chars"].type)
             yield pa.RecordBatch.from_arrays([*out.values()], names=[*out])
+        tidy()
 
     return both.mapInArrow(slice_texts, docs.schema)
 

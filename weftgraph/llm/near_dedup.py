@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, cut, mix64, shingle_hashes, small_batches, table, texts_of, word_hashes
+from .common import WORD, cut, mix64, shingle_hashes, small_batches, table, texts_of, tidy, word_hashes
 from .components import components
 
 WIDTH = 5
@@ -91,6 +91,7 @@ def _sketches(docs: DataFrame, rows: int) -> DataFrame:
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "digest", "bands"],
             )
+        tidy()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<bigint>")
 
@@ -191,6 +192,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         for batch in batches:
             found = pa.array([shingle_set(x).tobytes() for x in texts_of(batch.column(3))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], found], names=["doc_id", "group", "units", "shingles"])
+        tidy()
 
     whole = texts.mapInArrow(sets, "doc_id long, group long, units array<string>, shingles binary")
     dealt = whole.select("doc_id", "group", F.explode("units").alias("unit"), "shingles").repartition("unit").sortWithinPartitions("unit")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shingle_hashes, small_batches, span_hashes, table, texts_of, word_spans
+from .common import cut, shingle_hashes, small_batches, span_hashes, table, texts_of, tidy, word_spans
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_distinct_words", "n_same_as_last", "n_short_words", "n_lettered_words", "n_bar_words"]
 GOOD, BAD, ABSTAIN = 1, 0, -1
@@ -98,6 +98,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             found = np.array([statistics_of(x) for x in texts_of(batch.column(len(rest)))], np.int64).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(rest))), *(pa.array(found[:, k]) for k in range(len(STATISTICS)))], names=[*rest, *STATISTICS])
+        tidy()
 
     return df.select(*rest, F.col(text).cast("string").alias(text)).mapInArrow(measure, schema)
 
@@ -169,6 +170,7 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             found = np.array([statistics_of(x) for x in texts_of(batch.column(at).cast(pa.string()))], np.int64).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, k]) for k in range(len(STATISTICS)))], names=schema.names)
+        tidy()
 
     measured = docs.mapInArrow(measure, schema)
     # The statistics under their own names beside the row itself, whatever its columns are called.

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, letter_words, small_batches, table, texts_of
+from .common import cut, letter_words, small_batches, table, texts_of, tidy
 
 POSITIVES, UNLABELLED, FEATURES = 8_000, 20_000, 2_000
 #: Toxic documents that must hold a word before it can be a feature.
@@ -145,6 +145,7 @@ def score(df: DataFrame, model: Model | None, text: str = "text", out: str = "sc
             texts = batch.column(rest.index(text))
             found = pa.array([model.score(x) for x in texts_of(texts)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*rest, out])
+        tidy()
 
     return df.select(*rest).mapInArrow(run, schema)
 
