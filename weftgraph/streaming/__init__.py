@@ -1,0 +1 @@
+"""No operator of the engine is a streaming one: graphs are read whole. Kept for sources that grow."""
