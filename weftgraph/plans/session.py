@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from ..functions.lineage import cut
 from ..model import PGraph
 from . import query_text as q
 
@@ -14,6 +15,7 @@ class Context:
 
     input: PGraph
     named: dict[str, PGraph] = field(default_factory=dict)
+    settled: set[str] = field(default_factory=set)
 
 
 def fused(stages: tuple) -> tuple:
@@ -60,6 +62,14 @@ def execute(context: Context, stages: tuple) -> PGraph:
             raise q.QueryError(f"no graph is named {name}")
         return context.named[name]
 
+    def settled(name: str) -> PGraph:
+        """A bound graph, written once: matching two graphs reads each several times, and unwritten plans would multiply."""
+        graph = named(name)
+        if name != "*" and name not in context.settled:
+            graph = context.named[name] = graph.with_(nodes=cut(graph.nodes), edges=cut(graph.edges))
+            context.settled.add(name)
+        return graph
+
     for stage in fused(stages):
         if isinstance(stage, q.Bind):
             if stage.name in context.named:
@@ -68,7 +78,8 @@ def execute(context: Context, stages: tuple) -> PGraph:
         elif isinstance(stage, q.From):
             now = named(stage.name)
         elif isinstance(stage, q.Algebra):
-            now = algebra.OPERATORS[stage.op](named(stage.left), named(stage.right))
+            of = named if stage.op == "+" else settled
+            now = algebra.OPERATORS[stage.op](of(stage.left), of(stage.right))
         elif isinstance(stage, q.Subgraph):
             now = select.subgraph(now, stage)
         elif isinstance(stage, q.Make):
