@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.workers import ship
 from ..model import EDGES, EMPTY, GROUPS, NODES, NodeRef, PGraph, pack
 
 _TOKENS = re.compile(r'(?P<space>[ \t\r\n]+)|(?P<comment>#[^\n]*)|(?P<string>"(?:[^"\\]|\\.)*")|(?P<number>[0-9]+(?:\.[0-9]*)?)|(?P<id>[A-Za-z_][A-Za-z0-9_]*)|(?P<arrow>->)|(?P<mark>[\[\]{},:=@])', re.DOTALL)
@@ -348,6 +349,7 @@ FILE_ROWS = T.StructType([T.StructField("path", T.StringType()), T.StructField("
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Many files at once: path, kind (node, edge, set or error), and the row of that kind; each file is its own graph."""
+    ship(spark)
     texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
 
     def rows(partition) -> Iterator[tuple]:
