@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.workers import ship
+
 #: A word: anything but the six ASCII white-space characters. Used by Python, Spark and DuckDB alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,7 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds an Arrow batch by rows and bytes, so that batches of very long texts fit a Python worker."""
+    """Bounds an Arrow batch by rows and bytes, so that batches of very long texts fit a Python worker, which also gets
+    this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
