@@ -259,3 +259,17 @@ def test_query_finds_every_notice(spark):
     got = {r.doc_id: r for r in queries.queries()["op8_licences"](spark, SF).collect()}
     notice = re.compile(r"Licensed under CC BY-NC 4.0|licensed under the GNU General Public License, version 3|Licensed under the Apache License, Version 2.0|Released under the MIT License|All rights reserved")
     assert {i for i, t in texts(spark).items() if notice.search(t)} == {i for i, r in got.items() if r.own_licence}
+
+
+def test_notices_amid_other_words(spark):
+    """In mid-line, in one-line documents, and wrapped over lines."""
+    other = " ".join(f"word{k}" for k in range(90))
+    texts = [
+        ("Copyright 2020 Example Corp. All rights reserved.", "proprietary"), ("This article is licensed under CC BY-NC 4.0 by its author.", "CC-BY-NC-4.0"),
+        (f"{other} Released under the MIT License. {other}", "MIT"), (f"{other} Licensed under the Apache License, Version 2.0 {other}", "Apache-2.0"),
+        ("x = 1\n# This work is licensed under the\n# GNU General Public\n# License, version 3 and so on\ny = 2", "GPL-3.0"),
+        (f"{other} all the rights of men {other}", None), (other, None),
+    ]
+    df = spark.createDataFrame([(f"/{k}/f", t) for k, (t, _) in enumerate(texts)], "path string, text string")
+    got = {r.path: (r.own_licence, r.similarity) for r in licences.scan(df).collect()}
+    assert got == {f"/{k}/f": (name, 1.0 if name else 0.0) for k, (_, name) in enumerate(texts)}

@@ -1,9 +1,10 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory with a licence file.
 
-Every line of every text is a passage; a line of over LONG tokens is looked at in windows around its telling tokens.
-A passage's vector has a weight tf * idf for each token, with document frequencies counted over all files; it goes to
-the template with the greatest cosine, if that is LIKE or more. Most lines are never scored: of each template the
-heaviest tokens are taken until the rest alone couldn't reach LIKE, and a line without any of them can't either.
+Passages of a text are its windows of about each template's own length (a fourth more or less), wherever they begin
+and across line breaks, and its lines of up to LONG tokens. A passage's vector has a weight tf * idf for each token,
+with document frequencies counted over all files; a text goes to the template with the greatest cosine to any of its
+passages, if that is LIKE or more. Most passages are never scored: of each template the heaviest tokens are taken
+until the rest alone couldn't reach LIKE, and a passage without any of them can't either.
 
 A file is a licence file if its name says so (LICENSE, COPYING, NOTICE) or if the licence passage makes up a fourth of
 its words. A file with a passage of its own has that licence; another one inherits from the nearest directory upwards
@@ -18,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,11 @@ def _hash(token: bytes) -> int:
     return int(span_hashes(b, np.array([0]), np.array([len(b)]))[0])
 
 
+def lengths(n: int) -> range:
+    """Lengths of the windows that are held against a template of n tokens."""
+    return range(n - n // 4, n + n // 4 + 1)
+
+
 class Matcher:
     """Template vectors under given document frequencies."""
 
@@ -68,56 +74,95 @@ class Matcher:
         self.like, self.n = like, n_files
         self.idf = {t: math.log((n_files + 1) / (f + 1)) + 1 for t, f in frequencies.items()}
         self.unseen = math.log(n_files + 1) + 1
-        self.templates = [(name, self.vector(tokens(text.encode()))) for name in templates for text in templates[name]]
-        telling: set[bytes] = set()
-        for _, vector in self.templates:
+        whole = [(name, tokens(text.encode())) for name in templates for text in templates[name]]
+        self.templates = [(name, self.vector(found)) for name, found in whole]
+        self.lengths = [lengths(len(found)) for _, found in whole]
+        words = sorted({t for _, vector in self.templates for t in vector}, key=_hash)
+        self.hashes = np.array([_hash(t) for t in words], np.uint64)
+        self.number = {t: i for i, t in enumerate(words)}
+        self.weights = [self.idf.get(t, self.unseen) for t in words]
+        self.rows = [{self.number[t]: w for t, w in vector.items()} for _, vector in self.templates]
+        #: Squared weights of each template by number of token; the last one is that of tokens of no template.
+        self.squares = np.zeros((len(whole), len(words) + 1))
+        self.telling = np.zeros((len(whole), len(words) + 1), bool)
+        for k, row in enumerate(self.rows):
             rest = 1.0
-            for token, weight in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
-                if rest < like * like - 1e-9:
-                    break
-                telling.add(token)
+            for i, weight in sorted(row.items(), key=lambda x: (-x[1], words[x[0]])):
+                self.squares[k, i] = weight * weight
+                self.telling[k, i] = rest >= like * like - 1e-9
                 rest -= weight * weight
-        self.telling = np.sort(np.array([_hash(t) for t in telling], np.uint64))
+        self.any_telling = self.telling.any(axis=0)
 
     def vector(self, passage: list[bytes]) -> dict[bytes, float]:
         weights = {t: n * self.idf.get(t, self.unseen) for t, n in Counter(passage).items()}
         norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
         return {t: w / norm for t, w in weights.items()}
 
+    def likeness(self, numbers: list[int], k: int) -> tuple[float, float, int]:
+        """Dot product with the k-th template, squared norm of the templates' tokens, and how many other ones there are."""
+        times = Counter(numbers)
+        others = times.pop(-1, 0)
+        row, dot, norm = self.rows[k], 0.0, 0.0
+        for i, n in times.items():
+            w = n * self.weights[i]
+            dot += w * row.get(i, 0.0)
+            norm += w * w
+        return dot, norm, others
+
+    def cosine(self, dot: float, norm: float, others: Iterable[bytes | int]) -> float:
+        """Of a passage with these other tokens."""
+        norm += sum((n * self.unseen) ** 2 for n in Counter(others).values())
+        return round(dot / math.sqrt(norm), 9) if norm else 0.0
+
     def best(self, passage: list[bytes]) -> tuple[float, int]:
-        """Cosine and number of the most similar template, of equal ones the first."""
-        vector = self.vector(passage)
-        found = [(sum(w * vector.get(t, 0.0) for t, w in other.items()), -k) for k, (_, other) in enumerate(self.templates)]
+        """Cosine and number of the template most similar to a line or a window of it, of equal ones the first."""
+        numbers, n = [self.number.get(t, -1) for t in passage], len(passage)
+        found = [(0.0, 0)]
+        for k, sizes in enumerate(self.lengths):
+            for first, last in {(0, n), *((f, f + size) for size in sizes for f in range(n - size + 1))}:
+                dot, norm, _ = self.likeness(numbers[first:last], k)
+                found.append((self.cosine(dot, norm, [t for t in passage[first:last] if t not in self.number]), -k))
         cosine, k = max(found)
-        return round(cosine, 9), -k
+        return cosine, -k
 
-    def scan(self, raw: bytes) -> tuple[str | None, float, int]:
-        """Licence, cosine and tokens of the best passage of a text; (None, 0, 0) without one."""
+    def passages(self, raw: bytes) -> tuple[int, list[tuple[int, int, float, float, tuple[int, ...]]]]:
+        """Tokens of a text; number of template, tokens, dot product, squared norm and hashes of other tokens of each
+        passage that reaches the threshold if its other tokens are as light as can be (in all files: a weight of 1)."""
         b = np.frombuffer(raw, np.uint8)
         if not len(b):
-            return None, 0.0, 0
+            return 0, []
         start, end = word_spans(b, _OUTSIDE)
         hashes = span_hashes(_LOWER[b], start, end)
-        at = np.minimum(np.searchsorted(self.telling, hashes), len(self.telling) - 1)
-        hits = np.flatnonzero(self.telling[at] == hashes)
-        if not len(hits):
-            return None, 0.0, 0
-        breaks = np.flatnonzero(b == 10)
-        line = np.searchsorted(breaks, start)
-        top: tuple[float, int, int] = (0.0, 0, 0)
-        seen = set()
-        for hit in hits.tolist():
-            first, last = np.searchsorted(line, line[hit]), np.searchsorted(line, line[hit], side="right")
-            if last - first > LONG:
-                first, last = max(first, hit - LONG // 2), min(last, hit + LONG // 2)
-            if (first, last) in seen:
+        n = len(hashes)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        numbers = np.where(self.hashes[at] == hashes, at, -1)
+        places = np.flatnonzero(self.any_telling[numbers])
+        if not len(places):
+            return n, []
+        line = np.searchsorted(np.flatnonzero(b == 10), start)
+        spans = np.unique(line[places])
+        spans = list(zip(np.searchsorted(line, spans).tolist(), np.searchsorted(line, spans, side="right").tolist()))
+        found: dict[tuple, None] = {}
+        for k, sizes in enumerate(self.lengths):
+            hits = places[self.telling[k, numbers[places]]]
+            if not len(hits):
                 continue
-            seen.add((first, last))
-            cosine, k = self.best([raw[start[j] : end[j]].lower() for j in range(first, last)])
-            top = max(top, (cosine, -k, int(last - first)))
-        if top[0] < self.like:
-            return None, 0.0, 0
-        return self.templates[-top[1]][0], top[0], top[2]
+            total = np.concatenate([[0.0], np.cumsum(self.squares[k, numbers])])
+            reach, least = sizes[-1], self.like * self.like - 1e-9
+            near = hits[total[np.minimum(hits + reach, n)] - total[np.maximum(hits - reach + 1, 0)] >= least]
+            tried = {(f, z) for f, z in spans if z - f <= LONG and total[z] - total[f] >= least}
+            for hit in near.tolist():
+                tried.update((f, f + size) for size in sizes for f in range(max(0, hit - size + 1), min(hit, n - size) + 1) if total[f + size] - total[f] >= least)
+            for first, last in sorted(tried):
+                dot, norm, others = self.likeness(numbers[first:last].tolist(), k)
+                if dot > 0 and dot >= (self.like - 1e-9) * math.sqrt(norm + others):
+                    found[k, last - first, dot, norm, tuple(sorted(hashes[first:last][numbers[first:last] < 0].tolist()))] = None
+        return n, list(found)
+
+    def scan(self, raw: bytes) -> tuple[str | None, float, int]:
+        """Licence, cosine and tokens of the best passage of a text; (None, 0, 0) without one."""
+        cosine, k, size = max(((self.cosine(dot, norm, others), -k, size) for k, size, dot, norm, others in self.passages(raw)[1]), default=(0.0, 0, 0))
+        return (self.templates[-k][0], cosine, size) if cosine >= self.like else (None, 0.0, 0)
 
 
 def frequencies(files: DataFrame) -> tuple[dict[bytes, int], int]:
