@@ -273,3 +273,20 @@ def test_notices_amid_other_words(spark):
     df = spark.createDataFrame([(f"/{k}/f", t) for k, (t, _) in enumerate(texts)], "path string, text string")
     got = {r.path: (r.own_licence, r.similarity) for r in licences.scan(df).collect()}
     assert got == {f"/{k}/f": (name, 1.0 if name else 0.0) for k, (_, name) in enumerate(texts)}
+
+
+def test_weights_are_those_of_all_files(spark):
+    """Words outside the templates weigh what their frequencies make them weigh, and results don't drift with size."""
+    notice = "licensed under the apache license of version 2 0"
+    rows = [notice, "all rights are reserved", "Text licensed under CC BY-NC 4.0 for our project", "MIT strange license"]
+    for times in (1, 30):
+        all_texts = (rows + ["of for our are project see author"] * 36 + ["zu dem rest von"] * 10) * times
+        df = spark.createDataFrame([(f"/{k}/f", t) for k, t in enumerate(all_texts)], "path string, text string")
+        got = {r.path: (r.own_licence, r.similarity) for r in licences.scan(df).filter("own_licence IS NOT NULL").collect()}
+        each = Counter(t for text in all_texts for t in set(licences.tokens(text.encode())))
+        matcher = licences.Matcher(each, len(all_texts))  # knows every word, so best() weighs each truly
+        best = lambda text: matcher.best(licences.tokens(text.encode()))
+        want = {f"/{k}/f": (matcher.templates[best(t)[1]][0], best(t)[0]) for k, t in enumerate(all_texts[: len(rows)]) if best(t)[0] >= licences.LIKE}
+        assert {p: got[p] for p in got if int(p.split("/")[1]) < len(rows)} == want
+        assert want["/0/f"][0] == "Apache-2.0" and want["/1/f"][0] == "proprietary" and want["/2/f"] == ("CC-BY-NC-4.0", 1.0)
+        assert len(got) == len(want) * times

@@ -6,6 +6,10 @@ with document frequencies counted over all files; a text goes to the template wi
 passages, if that is LIKE or more. Most passages are never scored: of each template the heaviest tokens are taken
 until the rest alone couldn't reach LIKE, and a passage without any of them can't either.
 
+All tokens are counted by one distributed aggregation; only the templates' own come to the driver. A passage of those
+alone is scored where its text is read. One with other tokens is left open, unless even the least weight for them
+leaves it short of LIKE or of a better passage; open passages meet the frequencies of their tokens by a join.
+
 A file is a licence file if its name says so (LICENSE, COPYING, NOTICE) or if the licence passage makes up a fourth of
 its words. A file with a passage of its own has that licence; another one inherits from the nearest directory upwards
 that holds a licence file, of several there from the first by path. Ancestors are listed for each directory, not for
@@ -16,6 +20,8 @@ Null texts have no passage; null paths inherit nothing; repeated rows get equal
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import re
 from collections import Counter
@@ -26,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import small_batches, span_hashes, table, texts_of, word_spans
+from .common import cut, small_batches, span_hashes, table, texts_of, tidy, word_spans
 
 #: Notices as they stand in headers and licence files.
 TEMPLATES = {
@@ -45,6 +52,8 @@ TEMPLATES = {
     "proprietary": ["All rights reserved"],
 }
 LIKE, LONG, FILE_SHARE = 0.75, 64, 0.25
+#: Distinct tokens of files that a task holds before it passes their counts on.
+HELD = 1 << 20
 FILE_NAME = re.compile(r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$")
 _TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+")
 _OUTSIDE = np.ones(256, dtype=bool)
@@ -109,9 +118,11 @@ class Matcher:
             norm += w * w
         return dot, norm, others
 
-    def cosine(self, dot: float, norm: float, others: Iterable[bytes | int]) -> float:
-        """Of a passage with these other tokens."""
-        norm += sum((n * self.unseen) ** 2 for n in Counter(others).values())
+    def cosine(self, dot: float, norm: float, others: Iterable[bytes | int], counts: dict[int, int] | None = None, each: float | None = None) -> float:
+        """Of a passage with these other tokens; counts: in how many files each is, else as known or in none; each: weight of all."""
+        counts = counts or {}
+        weight = lambda t: math.log((self.n + 1) / (counts[t] + 1)) + 1 if t in counts else self.idf.get(t, self.unseen)
+        norm += sum((n * (weight(t) if each is None else each)) ** 2 for t, n in sorted(Counter(others).items()))
         return round(dot / math.sqrt(norm), 9) if norm else 0.0
 
     def best(self, passage: list[bytes]) -> tuple[float, int]:
@@ -159,57 +170,109 @@ class Matcher:
                     found[k, last - first, dot, norm, tuple(sorted(hashes[first:last][numbers[first:last] < 0].tolist()))] = None
         return n, list(found)
 
-    def scan(self, raw: bytes) -> tuple[str | None, float, int]:
-        """Licence, cosine and tokens of the best passage of a text; (None, 0, 0) without one."""
-        cosine, k, size = max(((self.cosine(dot, norm, others), -k, size) for k, size, dot, norm, others in self.passages(raw)[1]), default=(0.0, 0, 0))
+    def decide(self, passages: Iterable[tuple], counts: dict[int, int] | None = None) -> tuple[str | None, float, int]:
+        """Licence, cosine and tokens of the best of some passages; (None, 0, 0) without one."""
+        cosine, k, size = max(((self.cosine(dot, norm, others, counts), -k, size) for k, size, dot, norm, others in passages), default=(0.0, 0, 0))
         return (self.templates[-k][0], cosine, size) if cosine >= self.like else (None, 0.0, 0)
 
+    def scan(self, raw: bytes) -> tuple[str | None, float, int]:
+        """As decide, for a text."""
+        return self.decide(self.passages(raw)[1])
 
-def frequencies(files: DataFrame) -> tuple[dict[bytes, int], int]:
-    """In how many of all files each token of the templates occurs, and how many files there are."""
+    def undecided(self, passages: list[tuple]) -> list[tuple]:
+        """Those that can be the best one, whatever the frequencies of their other tokens, which occur in a file at least."""
+        rare = math.log((self.n + 1) / 2) + 1
+        sure = max([self.like, *(self.cosine(dot, norm, others, each=rare) for _, _, dot, norm, others in passages)])
+        return [p for p in passages if self.cosine(*p[2:], each=1.0) >= sure - 1e-9]
+
+
+def document_frequencies(files: DataFrame) -> DataFrame:
+    """k, n: in how many files each token, by its hash, occurs; k is null for the number of all files."""
     small_batches(files.sparkSession)
-    known = sorted({t for texts in TEMPLATES.values() for text in texts for t in tokens(text.encode())})
-    order = np.argsort(np.array([_hash(t) for t in known], np.uint64))
-    keys = np.array([_hash(t) for t in known], np.uint64)[order]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(len(keys), np.int64), 0
+        held, size, n = [], 0, 0
+
+        def done() -> pa.RecordBatch:
+            seen, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(times.astype(np.int64))], names=["k", "n"])
+
         for batch in batches:
             for raw in texts_of(batch.column(0)):
                 b = np.frombuffer(raw, np.uint8)
                 n += 1
                 if len(b):
-                    found = span_hashes(_LOWER[b], *word_spans(b, _OUTSIDE))
-                    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                    seen[np.unique(at[keys[at] == found])] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(keys)), -1], pa.int32()), pa.array([*seen.tolist(), n], pa.int64())], names=["k", "n"])
+                    held.append(np.unique(span_hashes(_LOWER[b], *word_spans(b, _OUTSIDE))))
+                    size += len(held[-1])
+                if size > HELD:
+                    yield done()
+                    held, size = [], 0
+        if held:
+            yield done()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], names=["k", "n"])
+        tidy()
 
-    found = files.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    counts = {r["k"]: r["n"] for r in found}
-    return {known[order[k]]: counts.get(k, 0) for k in range(len(keys))}, counts.get(-1, 0)
+    found = files.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "k long, n long")
+    return cut(found.groupBy("k").agg(F.sum("n").alias("n")), "frequencies")
+
+
+def of_templates(counted: DataFrame) -> tuple[dict[bytes, int], int]:
+    """In how many of all files each token of the templates occurs, and how many files there are."""
+    known = {t: int(np.uint64(_hash(t)).view(np.int64)) for texts in TEMPLATES.values() for text in texts for t in tokens(text.encode())}
+    found = {r["k"]: r["n"] for r in counted.filter(F.col("k").isNull() | F.col("k").isin(sorted(known.values()))).collect()}
+    return {t: found.get(k, 0) for t, k in known.items()}, found.get(None, 0)
+
+
+def frequencies(files: DataFrame) -> tuple[dict[bytes, int], int]:
+    """In how many of all files each token of the templates occurs, and how many files there are."""
+    return of_templates(document_frequencies(files))
+
+
+_FOUND = "own_licence string, similarity double, _size int"
 
 
 def scan(files: DataFrame) -> DataFrame:
     """files (path, text, ...) with own_licence, similarity, is_licence_file, licence and inherited_from in place of text."""
-    matcher = Matcher(*frequencies(files))
-    outs = {"own_licence": T.StringType(), "similarity": T.DoubleType(), "is_licence_file": T.BooleanType()}
+    counted = document_frequencies(files)
+    matcher = Matcher(*of_templates(counted))
+    outs = ("own_licence", "similarity", "is_licence_file")
     rest = [c for c in files.columns if c not in ("text", "licence", "inherited_from", *outs)]
-    schema = T.StructType([*(files.schema[c] for c in rest), *(T.StructField(c, t) for c, t in outs.items())])
+    more = T._parse_datatype_string(_FOUND + ", _words int, _key binary, _open binary, _others array<bigint>").fields
+    schema = T.StructType([*(files.schema[c] for c in rest), *more])
+    kinds = [to_arrow_type(f.dataType) for f in more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = batch.column(rest.index("path")).to_pylist()
-            names, likes, kinds = [], [], []
-            for path, raw in zip(paths, texts_of(batch.column(len(rest)))):
-                raw = bytes(raw)
-                name, cosine, size = matcher.scan(raw)
-                names.append(name)
-                likes.append(cosine)
-                kinds.append(name is not None and (bool(FILE_NAME.match((path or "").rpartition("/")[2])) or size >= FILE_SHARE * len(tokens(raw))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(names, pa.string()), pa.array(likes, pa.float64()), pa.array(kinds, pa.bool_())], names=[*rest, *outs])
-
-    own = files.select(*rest, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
-    return inherit(own)
+            rows = []
+            for raw in texts_of(batch.column(len(rest))):
+                n, found = matcher.passages(bytes(raw))
+                found = sorted(matcher.undecided(found))
+                others = sorted({t for p in found for t in p[4]})
+                packed = json.dumps(found).encode() if others else None
+                sure = (None, None, None) if others else matcher.decide(found)
+                rows.append((*sure, n, packed and hashlib.blake2b(packed, digest_size=16).digest(), packed, np.array(others, np.uint64).view(np.int64).tolist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=schema.names)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for packed, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                counts = {r["k"] % (1 << 64): r["n"] for r in known}
+                rows.append(matcher.decide(json.loads(packed), counts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["_key", "own_licence", "similarity", "_size"])
+
+    own = cut(files.select(*rest, F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "passages")
+    # Files with one text, or with like passages, share a key: each is settled once.
+    open_ = own.filter("_key IS NOT NULL").groupBy("_key").agg(F.first("_open").alias("_open"), F.first("_others").alias("_others"))
+    asked = open_.select("_key", F.explode("_others").alias("k"))
+    wanted = counted.join(asked.select("k").distinct(), "k", "left_semi")
+    known = asked.join(wanted, "k").groupBy("_key").agg(F.collect_list(F.struct("k", "n")).alias("_known"))
+    settled = cut(open_.select("_key", "_open").join(known, "_key").mapInArrow(settle, "_key binary, " + _FOUND), "settled")
+    sure = own.filter("_key IS NULL").select(*rest, "own_licence", "similarity", "_size", "_words")
+    later = own.filter("_key IS NOT NULL").select(*rest, "_words", "_key").join(settled, "_key").select(*sure.columns)
+    named = F.regexp_replace(F.coalesce("path", F.lit("")), "^(?s:.*)/", "").rlike(FILE_NAME.pattern)
+    kind = F.col("own_licence").isNotNull() & (named | (F.col("_size") >= FILE_SHARE * F.col("_words")))
+    return inherit(sure.unionByName(later).withColumn("is_licence_file", kind).select(*rest, *outs))
 
 
 def inherit(scanned: DataFrame) -> DataFrame:
