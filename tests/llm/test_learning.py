@@ -1,8 +1,10 @@
+import math
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from weftgraph.llm import licences, mixing, quality, queries, simhash, toxicity
 
@@ -220,6 +222,28 @@ def test_radius_search_finds_all(spark):
     assert got == want
 
 
+def test_large_buckets_are_split(spark):
+    rng = random.Random(4)
+    base = rng.getrandbits(128)
+    prints = sorted({f"{base ^ (1 << rng.randrange(128)) ^ (1 << rng.randrange(128)):032x}" for _ in range(90)}) + [f"{rng.getrandbits(128):032x}" for _ in range(30)]
+    df = spark.createDataFrame([*enumerate(prints), (900, prints[0]), (None, prints[0])], "doc_id long, fingerprint string")
+    near = {(a, b): d for b in range(len(prints)) for a in range(b) if (d := (int(prints[a], 16) ^ int(prints[b], 16)).bit_count()) <= 3}
+    for most in (7, 2000):
+        assert sorted(map(tuple, simhash.within_radius(df, 3, most=most)[1].collect())) == sorted((*k, d) for k, d in near.items())
+        got = {(r.doc_id, r.class_id, r.n_links) for r in simhash.with_links(df, 3, most=most).collect()}
+        n = Counter(k for pair in near for k in pair)
+        assert got == {(k, k, n[k]) for k in range(len(prints))} | {(900, 0, n[0]), (None, None, None)}
+
+
+def test_query_searches_within_the_radius(spark):
+    got = queries.queries()["op9_fingerprints"](spark, SF).collect()
+    first = {}
+    for r in sorted(got, key=lambda r: r.doc_id):
+        first.setdefault(r.fingerprint, r.doc_id)
+    n = {p: sum(0 < (int(p, 16) ^ int(q, 16)).bit_count() <= simhash.RADIUS for q in first) for p in first}
+    assert all((r.class_id, r.n_links) == (first[r.fingerprint], n[r.fingerprint]) for r in got)
+
+
 # ---- licences ---------------------------------------------------------------------------------------------
 
 
@@ -284,9 +308,19 @@ def test_weights_are_those_of_all_files(spark):
         df = spark.createDataFrame([(f"/{k}/f", t) for k, t in enumerate(all_texts)], "path string, text string")
         got = {r.path: (r.own_licence, r.similarity) for r in licences.scan(df).filter("own_licence IS NOT NULL").collect()}
         each = Counter(t for text in all_texts for t in set(licences.tokens(text.encode())))
-        matcher = licences.Matcher(each, len(all_texts))  # knows every word, so best() weighs each truly
-        best = lambda text: matcher.best(licences.tokens(text.encode()))
-        want = {f"/{k}/f": (matcher.templates[best(t)[1]][0], best(t)[0]) for k, t in enumerate(all_texts[: len(rows)]) if best(t)[0] >= licences.LIKE}
-        assert {p: got[p] for p in got if int(p.split("/")[1]) < len(rows)} == want
+        idf = lambda t: math.log((len(all_texts) + 1) / (each[t] + 1)) + 1
+        vector = lambda words: {t: n * idf(t) for t, n in Counter(words).items()}
+        cosine = lambda x, y: sum(w * y.get(t, 0) for t, w in x.items()) / math.sqrt(sum(w * w for w in x.values()) * sum(w * w for w in y.values()))
+
+        def best(text: str) -> tuple[float, str]:
+            words, found = licences.tokens(text.encode()), []
+            for name, templates in licences.TEMPLATES.items():
+                for other in (licences.tokens(x.encode()) for x in templates):
+                    parts = [words] + [words[f : f + n] for n in licences.lengths(len(other)) for f in range(len(words) - n + 1)]
+                    found += [(round(cosine(vector(p), vector(other)), 9), name) for p in parts]
+            return max(found, key=lambda x: x[0])
+
+        want = {f"/{k}/f": best(t)[::-1] for k, t in enumerate(rows) if best(t)[0] >= licences.LIKE}
+        assert {p: got[p] for p in got if int(p.split("/")[1]) < len(rows)} == {p: (name, pytest.approx(x, abs=2e-9)) for p, (name, x) in want.items()}
         assert want["/0/f"][0] == "Apache-2.0" and want["/1/f"][0] == "proprietary" and want["/2/f"] == ("CC-BY-NC-4.0", 1.0)
         assert len(got) == len(want) * times

@@ -5,9 +5,13 @@ BITS bits; every bit votes plus or minus the term's weight, 1 + ln(times in the
 the votes are positive. Equal texts have equal fingerprints; texts without words have the fingerprint of all zeros.
 Likeness of two fingerprints is the share of equal bits.
 
-within_radius() cuts fingerprints into BLOCKS blocks. Two that differ in `radius` bits at most agree in at least
-BLOCKS - radius whole blocks, so a table for each choice of that many blocks, keyed by them, holds every such pair in
-a common bucket: the search is exact. Equal fingerprints are one class with one row, so copies make no pairs.
+within_radius() cuts fingerprints into blocks. Two that differ in `radius` bits at most agree in at least
+blocks - radius whole blocks, so a table for each choice of that many blocks, keyed by them, holds every such pair in
+a common bucket: the search is exact. Equal fingerprints are one class with one row, so copies make no pairs. A bucket
+of over BUCKET classes is cut into parts, and every two parts meet in a unit of work of their own. A pair counts only
+in the first table that holds it.
+
+op9_fingerprints searches with RADIUS = 3 of 128 bits (a likeness of 0.977 or more), with four tables.
 """
 
 from __future__ import annotations
@@ -24,12 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import mix64, shingle_hashes, small_batches, table, word_hashes
+from .common import cut, mix64, shingle_hashes, small_batches, table, word_hashes
 
 BITS, TERM_WORDS = 128, 3
 #: Bytes of text in one stretch of the order of ids, and most stretches.
 STRETCH_BYTES, MOST_STRETCHES = 8 << 20, 50_000
 _ROWS = 4096
+#: Bits in which fingerprints of near documents differ at most; classes in a bucket, or part of one, that meet at once.
+RADIUS, BUCKET = 3, 2048
+_TILE = 64
 
 
 @lru_cache(maxsize=4)  # the next text of one document is the own text of the one after
@@ -131,30 +138,163 @@ def with_next(docs: DataFrame, visit, schema: T.StructType) -> DataFrame:
     return ordered.select("doc_id", "text", "_at", "_guest").mapInArrow(stream, schema)
 
 
-def within_radius(prints: DataFrame, radius: int, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _pairs(a: np.ndarray, b: np.ndarray | None, table: int, radius: int, blocks: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of a, rows of b (without b: later ones of a), and distances of the near pairs whose first table this is.
+
+    Rows: high and low 64 bits.
+    """
+    edges = np.linspace(0, BITS, blocks + 1).astype(int)
+    masks = [((1 << int(z - f)) - 1) << int(BITS - z) for f, z in zip(edges, edges[1:])]
+    chosen = list(combinations(range(blocks), blocks - radius))[table]
+    other = a if b is None else b
+    for k in range(0, len(a), _TILE):
+        x = a[k : k + _TILE, None, :] ^ other[None, k + 1 if b is None else 0 :, :]
+        apart = np.bitwise_count(x).sum(axis=2, dtype=np.int16)
+        near = apart <= radius
+        if b is None:
+            near &= np.arange(near.shape[1])[None, :] >= np.arange(near.shape[0])[:, None]
+        for block, mask in enumerate(masks[: chosen[-1] + 1]):  # blocks before the last chosen one agree if and only if chosen
+            high, low = np.uint64(mask >> 64), np.uint64(mask & (1 << 64) - 1)
+            same = (x[..., 0] & high | x[..., 1] & low) == 0
+            near &= same == (block in chosen)
+        i, j = np.nonzero(near)
+        yield i + k, j + (k + 1 if b is None else 0), apart[i, j]
+
+
+def _found(ids: np.ndarray, others: np.ndarray, near: Iterator[tuple], counted: bool) -> pa.RecordBatch:
+    """Near pairs, or for each id that is in one how many it is in."""
+    near = list(near)
+    i, j = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in near)]) for k in (0, 1))
+    a, b = ids[i], others[j]
+    if counted:
+        held, n = np.unique(np.concatenate([a, b]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(n, pa.int64())], names=["class_id", "n"])
+    distance = np.concatenate([np.zeros(0, np.int16), *(x[2] for x in near)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(distance)], names=["a", "b", "distance"])
+
+
+def _search(classes: DataFrame, radius: int, blocks: int, counted: bool, most: int) -> DataFrame:
+    """Near pairs (a, b, distance) of classes (class_id, fingerprint in hex), or counted: class_id, n for each part of them."""
+    small_batches(classes.sparkSession)
+    out = "class_id long, n long" if counted else "a long, b long, distance int"
+    names = [f.name for f in T._parse_datatype_string(out)]
+    edges = np.linspace(0, BITS, blocks + 1).astype(int)
+    bits = F.concat(*[F.lpad(F.conv(F.substring("fingerprint", k * 8 + 1, 8), 16, 2), 32, "0") for k in range(BITS // 32)])
+    half = lambda k: F.shiftleft(F.conv(F.substring("fingerprint", k * 16 + 1, 8), 16, 10).cast("long"), 32).bitwiseOR(F.conv(F.substring("fingerprint", k * 16 + 9, 8), 16, 10).cast("long"))
+
+    def key(n: int, choice: tuple[int, ...]) -> Column:
+        value = F.concat(*[F.substring("_bits", int(edges[k]) + 1, int(edges[k + 1] - edges[k])) for k in choice])
+        return F.struct(F.lit(n).alias("t"), F.xxhash64(F.lit(n), value).alias("v"))
+
+    choices = list(combinations(range(blocks), blocks - radius))
+    keyed = classes.select("class_id", half(0).alias("high"), half(1).alias("low"), bits.alias("_bits"))
+    keyed = keyed.select("class_id", "high", "low", F.explode(F.array(*[key(n, c) for n, c in enumerate(choices)])).alias("key")).select("key.t", "key.v", "class_id", "high", "low")
+    rows = lambda batch: np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
+    words = lambda x: np.ascontiguousarray(x[:, 3:5]).view(np.uint64)
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of small buckets; rows of large ones, with the part they are in, and the number of parts."""
+        held, large, seen = np.zeros((0, 5), np.int64), None, 0
+
+        def passed(part: np.ndarray, first: int, over: bool) -> pa.RecordBatch:
+            of = (np.arange(len(part)) + first) // most
+            ends = np.zeros(len(part), bool)
+            if over:
+                ends[-1] = True
+            cols = [pa.array(part[:, k], pa.int64()) for k in range(5)]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(of, pa.int32()), pa.array(ends), *(pa.nulls(len(part), pa.int64()) for _ in range(3))], names=schema)
+
+        def near(part: np.ndarray) -> pa.RecordBatch:
+            found = _found(part[:, 2], part[:, 2], _pairs(words(part), None, int(part[0, 0]), radius, blocks), counted)
+            cols = [found.column(k).cast(pa.int64()) for k in range(len(names))] + [pa.nulls(found.num_rows, pa.int64())] * (3 - len(names))
+            return pa.RecordBatch.from_arrays([*(pa.nulls(found.num_rows, pa.int64()) for _ in range(5)), pa.nulls(found.num_rows, pa.int32()), pa.nulls(found.num_rows, pa.bool_()), *cols], names=schema)
+
+        def done(part: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if large is not None and len(part):
+                yield passed(part, seen, True)
+            elif len(part) > most:
+                yield passed(part, 0, True)
+            elif len(part) > 1:
+                yield near(part)
+
+        for batch in batches:
+            found = rows(batch)
+            held = np.concatenate([held, found])
+            cuts = np.flatnonzero((np.diff(held[:, 0]) != 0) | (np.diff(held[:, 1]) != 0)) + 1
+            start = 0
+            for end in cuts.tolist():
+                if end - start > 1 or large is not None:
+                    yield from done(held[start:end])
+                start, large, seen = end, None, 0
+            held = held[start:]
+            if len(held) > most + 1:  # one row stays back, to end the bucket with
+                yield passed(held[:-1], seen, False)
+                large, seen, held = True, seen + len(held) - 1, held[-1:]
+        yield from done(held)
+
+    schema = ["t", "v", "class_id", "high", "low", "part", "ends", "x", "y", "z"]
+    dealt = keyed.repartition("t", "v").sortWithinPartitions("t", "v")
+    first = cut(dealt.mapInArrow(buckets, "t long, v long, class_id long, high long, low long, part int, ends boolean, x long, y long, z long"), "buckets")
+    small = first.filter("t IS NULL").select(*(F.col(c).alias(n) for c, n in zip("xyz", names)))
+    split = first.filter("t IS NOT NULL")
+    if split.isEmpty():
+        return small
+    parts = split.filter("ends").select("t", "v", (F.col("part") + 1).alias("_parts"))
+    others = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    units = split.join(parts, ["t", "v"]).select("t", "v", "class_id", "high", "low", "part", others.alias("_o"))
+    unit = F.xxhash64("t", "v", F.least("part", "_o"), F.greatest("part", "_o"))
+    units = units.select("t", "v", "class_id", "high", "low", unit.alias("unit"), "part").repartition("unit").sortWithinPartitions("unit", "part")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 7), np.int64)
+
+        def done(part: np.ndarray) -> pa.RecordBatch:
+            there = part[:, 6] == part[0, 6]
+            a, b = part[there], part[~there]
+            return _found(a[:, 2], b[:, 2] if len(b) else a[:, 2], _pairs(words(a), words(b) if len(b) else None, int(a[0, 0]), radius, blocks), counted)
+
+        for batch in batches:
+            held = np.concatenate([held, np.column_stack([rows(batch), batch.column(5).to_numpy(), batch.column(6).to_numpy()])])
+            cuts = np.flatnonzero(np.diff(held[:, 5]) != 0) + 1
+            start = 0
+            for end in cuts.tolist():
+                yield done(held[start:end])
+                start = end
+            held = held[start:]
+        if len(held):
+            yield done(held)
+
+    met = units.mapInArrow(meet, out)
+    return small.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(out))).unionByName(met)
+
+
+def _classes(prints: DataFrame) -> DataFrame:
+    return prints.filter("doc_id IS NOT NULL AND fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
+
+
+def within_radius(prints: DataFrame, radius: int, blocks: int | None = None, most: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """(classes, links) of prints (doc_id, fingerprint in hex).
 
     classes: doc_id, class_id (smallest doc_id with that fingerprint) for each row with an id. links: a row for every
     pair of classes whose fingerprints differ in `radius` bits at most: a < b (class ids), distance.
     """
-    blocks = blocks or radius + 2
-    prints = prints.filter("doc_id IS NOT NULL AND fingerprint IS NOT NULL")
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
-    edges = np.linspace(0, BITS, blocks + 1).astype(int)
-    bits = F.concat(*[F.lpad(F.conv(F.substring("fingerprint", k * 8 + 1, 8), 16, 2), 32, "0") for k in range(BITS // 32)])
-    with_bits = classes.withColumn("_bits", bits)
+    classes = _classes(prints)
+    links = _search(classes, radius, blocks or radius + 1, False, most).withColumn("distance", F.col("distance").cast("int"))
+    return prints.filter("doc_id IS NOT NULL").join(classes, "fingerprint").select("doc_id", "class_id"), links
 
-    def key(choice: tuple[int, ...]) -> Column:
-        return F.struct(F.lit(",".join(map(str, choice))).alias("t"), F.concat(*[F.substring("_bits", int(edges[k]) + 1, int(edges[k + 1] - edges[k])) for k in choice]).alias("v"))
 
-    keyed = with_bits.select("class_id", "fingerprint", F.explode(F.array(*[key(c) for c in combinations(range(blocks), blocks - radius)])).alias("key"))
-    keyed = keyed.select("class_id", "fingerprint", F.xxhash64("key").alias("key"))
-    other = keyed.withColumnsRenamed({"class_id": "b", "fingerprint": "_f"})
-    word = lambda c, k: F.conv(F.substring(c, k * 8 + 1, 8), 16, 10).cast("long")
-    distance = sum((F.bit_count(word("fingerprint", k).bitwiseXOR(word("_f", k))) for k in range(BITS // 32)), F.lit(0))
-    links = keyed.withColumnRenamed("class_id", "a").join(other, "key").filter(F.col("a") < F.col("b"))
-    links = links.select("a", "b", distance.cast("int").alias("distance")).filter(F.col("distance") <= radius).distinct()
-    return prints.join(classes, "fingerprint").select("doc_id", "class_id"), links
+def with_links(docs: DataFrame, radius: int, blocks: int | None = None, most: int = BUCKET) -> DataFrame:
+    """docs (doc_id, fingerprint, ...) with class_id and n_links: how many other classes lie within the radius.
+
+    Null for rows without an id. Near pairs are counted where they are found, never listed.
+    """
+    docs = cut(docs, "fingerprints")
+    classes = cut(_classes(docs), "classes")
+    linked = _search(classes, radius, blocks or radius + 1, True, most).groupBy("class_id").agg(F.sum("n").alias("n_links"))
+    known = classes.join(linked, "class_id", "left").select("fingerprint", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = docs.join(known, "fingerprint", "left")
+    owned = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
+    return out.select(*docs.columns, owned("class_id"), owned("n_links"))
 
 
 def _edited(doc_id, text: str, following: str) -> tuple:
@@ -167,7 +307,8 @@ def _edited(doc_id, text: str, following: str) -> tuple:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text, and their likenesses."""
+    """Fingerprints of every document and of its edited text, and their likenesses; class_id, the smallest id with that
+    fingerprint, and n_links, the number of other classes within RADIUS bits."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     schema = T._parse_datatype_string("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return with_next(docs, _edited, schema)
+    return with_links(with_next(docs, _edited, schema), RADIUS)
