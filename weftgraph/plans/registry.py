@@ -146,6 +146,21 @@ _ALL: dict[str, tuple[Query, str | None]] = {
 }
 
 
+_TREE = "subgraph node.id == "
+_COLLAPSE = 'collapse into B where node.segment == "BUILDING"'
+
+#: The walks, scopes and contractions above, over the whole containment graph. Walks up and down meet line items in an
+#: order that SQL can't give, so these have no SQL; tests hold them against a plain engine.
+_WHOLE: dict[str, Query] = {
+    "traverse_up_1_items": _over(_TREE + "o_7 traverse up 1", edges("rel")),
+    "traverse_up_all_items": _over(_TREE + "o_7 traverse up all", nodes("kind")),
+    "traverse_down_1_items": _over(_TREE + "n_3 traverse down 1", nodes("kind")),
+    "scope_all_items": _over("subgraph edge.rel == region scope", sizes),
+    "collapse_segment_items": _over(_COLLAPSE, edges("rel", "returnflag", "quantity")),
+    "collapse_nodes_items": _over(_COLLAPSE, nodes("kind", "name")),
+}
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is sold to the customers of one market segment: filter, walk, and the edges found."""
     return edges("rel", "returnflag")(query(containment(spark, sf_dir), 'subgraph node.segment == "BUILDING" traverse out 2'))
@@ -155,5 +170,10 @@ def queries() -> dict[str, Query]:
     return {name: q for name, (q, _) in _ALL.items()}
 
 
+def whole_queries() -> dict[str, Query]:
+    """Queries over the whole containment graph that have no SQL."""
+    return dict(_WHOLE)
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: _SQL + sql for name, (_, sql) in _ALL.items() if sql is not None}
