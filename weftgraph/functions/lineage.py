@@ -8,33 +8,58 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weft-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """spark.checkpoint.dir. Where it is unset, a temporary folder in local mode, and an error on a cluster, whose
+    machines don't share their temporary folders."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    name = spark.sparkContext.applicationId
+    if name not in _own:
+        _own[name] = "file://" + tempfile.mkdtemp(prefix="weft-")
+    return _own[name]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.pop(path, None)
 
 
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in list(_written.items()):
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended, and its folder with it
             pass
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
+def owned(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
     if not _written:
         atexit.register(_clean)
-    _written.append((spark, path))
+    path = f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back. The table stays until release() or the driver's end."""
+    spark = df.sparkSession
+    path = owned(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that cut() gave and that no plan reads any more."""
+    for df in tables:
+        if path := getattr(df, "_weft_path", None):
+            delete(df.sparkSession, path)
