@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.lineage import cut, delete, owned, release, shared_dir  # noqa: F401  for the operators
 from ..functions.workers import ship
 
 #: A word: anything but the six ASCII white-space characters. Used by Python, Spark and DuckDB alike.
@@ -25,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds an Arrow batch by rows and bytes, so that batches of very long texts fit a Python worker, which also gets
-    this package."""
+    this package. The two settings stay in the session, as plans read them when they run."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
@@ -40,40 +39,44 @@ def tidy() -> None:
         pass
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where unset (local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weft-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+def row_of(df: DataFrame) -> Column:
+    """The caller's whole row in one struct. Operators carry it beside columns of their own, so no column of the caller
+    can clash with one of theirs, and give it back by select("row.*")."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
 
 
-_written: list[tuple[SparkSession, str]] = []
+def rows_with_text(df: DataFrame, text: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:
+    """df as one column `row`, and what gets the texts, as strings, out of a batch of it."""
+    at = df.columns.index(text)
+    if isinstance(df.schema[text].dataType, T.StringType):
+        return df.select(row_of(df)), lambda batch: batch.column(0).field(at)
+    return df.select(row_of(df), F.col(f"`{text}`").cast("string").alias("text")), lambda batch: batch.column(1)
 
 
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-        except Exception:  # noqa: BLE001  the session may have ended, and its folder with it
-            pass
+#: Rows of a table that may be broadcast because very many rows meet them, and how many those are at least.
+MOST_HOT, HOT_ROWS = 10_000, 500
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def join_hot(left: DataFrame, right: DataFrame, key: str, times: str) -> DataFrame:
+    """left with the columns of right (one row for each key) or nulls. times: the column of right that says how many rows
+    of left have the key.
 
-
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    Up to MOST_HOT keys are broadcast. Of more, those with a MOST_HOT-th of all rows or more, of which there can't be
+    more than MOST_HOT, are broadcast, so that no task gets all rows of one key; all others meet by a shuffle.
+    """
+    sizes = right.agg(F.count("*").alias("keys"), F.coalesce(F.sum(times), F.lit(0)).alias("n")).first()
+    least = max(HOT_ROWS, -(-int(sizes["n"]) // MOST_HOT))
+    found = right.drop(times)
+    if sizes["keys"] <= MOST_HOT:
+        return left.join(F.broadcast(found), key, "left").select(*left.columns, *(c for c in found.columns if c != key))
+    hot = right.filter(F.col(times) >= least).drop(times)
+    if hot.isEmpty():
+        return left.join(found, key, "left")
+    names = [*left.columns, *(c for c in found.columns if c != key)]
+    hot = F.broadcast(hot)
+    many = left.join(hot, key).select(*names)
+    few = left.join(hot.select(key), key, "left_anti").join(found, key, "left").select(*names)
+    return many.unionByName(few)
 
 
 # ---- words and shingles of whole Arrow batches, in numpy -------------------------------------------------
@@ -90,7 +93,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        n = max(n, 1 << 18)
+        n = max(n, STRETCH + 1)
         for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1
@@ -113,8 +116,36 @@ def word_spans(b: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray,
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: Bytes that are hashed at once: what hashing needs beside the text and its spans doesn't grow with the text.
+STRETCH = 1 << 18
+
+
 def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, which depends on its bytes alone and not on where it stands."""
+    """A 64-bit hash of each span of bytes, which depends on its bytes alone and not on where it stands.
+
+    Spans are in order and don't overlap. A span longer than STRETCH is hashed part by part from its own start.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    if end[-1] - start[0] <= STRETCH:
+        return _hashes(b[start[0] : end[-1]], start - start[0], end - start[0])
+    out, k = np.empty(len(start), np.uint64), 0
+    while k < len(start):
+        last = int(np.searchsorted(end, start[k] + STRETCH, side="right"))
+        if last > k:
+            out[k:last] = _hashes(b[start[k] : end[last - 1]], start[k:last] - start[k], end[k:last] - start[k])
+        else:
+            at, last = np.arange(start[k], end[k], STRETCH), k + 1
+            value = np.array([end[k] - start[k]], np.uint64)
+            for f in at.tolist():
+                part = b[f : min(f + STRETCH, end[k])]
+                value = mix64(value * np.uint64(0xD6E8FEB86659FD93) + _hashes(part, np.array([0]), np.array([len(part)])))
+            out[k] = value[0]
+        k = last
+    return out
+
+
+def _hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     power, inverse = _power_tables(len(b) + 1)
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_BYTE[b] * power[: len(b)], out=total[1:])

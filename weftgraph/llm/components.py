@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = sides.filter(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v")).filter(u > v).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u").select(F.explode(F.array(F.struct(u.alias("u"), F.col("m").alias("v")), F.struct(v.alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = cut(pairs.select("e.u", "e.v").filter(u > v).distinct(), "edges")
+        before, now = now, cut(pairs.select("e.u", "e.v").filter(u > v).distinct(), "edges")
+        release(before)
         new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if new == state:
             return now.select(u.alias("node"), v.alias("component"))
