@@ -33,7 +33,7 @@ def brute(rows, percent):
     for k, (doc_id, _) in enumerate(rows):
         if doc_id is not None:
             least[top(k)] = min(least.get(top(k), doc_id), doc_id)
-    return [(i, len(sets[k]), (least[top(k)] if sets[k] else i) if i is not None else None) for k, (i, _) in enumerate(rows)]
+    return [(i, len(sets[k]), least.get(top(k)) if sets[k] else i) for k, (i, _) in enumerate(rows)]
 
 
 def corpus(n, seed=1):
@@ -64,19 +64,61 @@ def test_components_as_by_all_pairs(spark, percent):
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
 
 
-def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("most_hot", [10_000, 3])
+def test_large_groups_are_cut_into_blocks(spark, monkeypatch, most_hot):
+    from weftgraph.llm import common
+
     monkeypatch.setattr(nd, "BLOCK_SHINGLES", 400)
-    rows = corpus(120, seed=5)
+    monkeypatch.setattr(common, "MOST_HOT", most_hot)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    rows = corpus(120, seed=5) + [(k, "one text that many share") for k in range(500, 520)]
     got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 80))
 
 
+def test_centres_alone_may_not_connect_a_group(spark, monkeypatch):
+    """Near copies in a chain: each is like the next one and unlike those further on, in blocks of a few texts."""
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 300)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[6 * k : 6 * k + 110])) for k in range(40)] + [(100 + k, " ".join(words[:100] + [f"x{k}"] * 3 + words[103:110])) for k in range(20)]
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 85))
+
+
+def test_parts_are_connected_by_their_best_pairs():
+    rng = np.random.RandomState(5)
+    base = rng.randint(0, 2**62, 100, dtype=np.int64).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[k:], rng.randint(0, 2**62, k, dtype=np.int64).astype(np.uint64)])) for k in (0, 2, 4, 90, 95)]
+    sigs = [nd.signature(x).astype(np.uint8) for x in sets]
+    links = nd.verify([1, 2, 3, 4, 5], [0] * 5, sets, sigs, 80)
+    assert len(links) == 2 and {x for pair in links for x in pair} == {1, 2, 3}
+    assert nd.verify([1, 1, 1, 4, 5], [0] * 5, sets, sigs, 80) == []
+    assert set(nd.verify([1, 2, 3, 4, 5], [0, 0, 1, 1, 1], sets, sigs, 80)) == {(2, 3), (1, 3)}  # never (1, 2)
+
+
+A, B = "a b c d e f", "q r s t u v w"
+
+
+@pytest.mark.parametrize("rows", [
+    [(3, B), (9, A), (9, B)], [(9, A), (9, B)], [(9, A), (9, B), (12, A + " g h i j k l m n o"), (4, B)], [(None, A), (None, A), (None, B), (None, None)], [(None, A), (7, A)], [(5, A)] * 4,
+])
+def test_rows_that_share_an_id(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    got = nd.near_duplicates(df).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(brute(rows, 80), key=key)
+    kept = [(r.doc_id, r.text) for r in nd.keep_firsts(df).collect()]
+    texts = sorted({t for _, t in rows if t})
+    assert sorted(t for _, t in kept if t) == texts and len([t for _, t in kept if t is None]) == len([t for _, t in rows if t is None])
+    assert all(i == min([j for j, u in rows if u == t and j is not None], default=None) for i, t in kept if t)
+
+
 def test_one_of_each_group_stays(spark):
-    rows = [(3, "a b c d e f", "x"), (3, "a b c d e f", "x"), (5, "A b c d e f", "y"), (None, "a b c d e f", "z"), (6, None, "q"), (7, "other words", "kept")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    rows = [(3, A, "x", 1), (3, A, "x", 1), (5, A.upper(), "y", 2), (None, A, "z", 3), (6, None, "q", 4), (6, None, "q", 4), (7, "other words", "kept", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark string, worded int")
     out = nd.keep_firsts(df)
     assert out.columns == df.columns
-    assert sorted((r.doc_id or 0, r.kept) for r in out.collect()) == [(0, "z"), (3, "x"), (6, "q"), (7, "kept")]
+    assert sorted((r.doc_id, r.mark, r.worded) for r in out.collect()) == [(3, "x", 1), (6, "q", 4), (6, "q", 4), (7, "kept", 5)]
     assert nd.keep_firsts(df.limit(0)).count() == 0
 
 

@@ -4,16 +4,18 @@ A document's set is that of its distinct 5-word shingles, hashed to 64 bits. Cir
 universe scatters a set, and a second one, shifted circularly by one more place for each coordinate, gives the whole
 signature; two permutations stand in for one per coordinate. Signatures are cut into bands; equal sets are one class.
 
-1. Classes that share a band are joined to the smallest class there (a row per member, never a row per pair), and the
-   connected components of those edges are the coarse groups: classes of different groups share no band.
-2. Whole sets are brought together by coarse group, several small groups to a unit of work. A large group is cut into
-   blocks and every two blocks meet in a unit, so a unit holds a bounded number of shingles whatever the group's size.
-3. In a unit, pairs that signatures put near the threshold are verified on the full sets, best first. Pairs that links
-   found so far connect already are left out: they can't change what is reachable.
+1. Classes that share a band are joined to one class there, the band's centre (a row per member, never one per pair).
+   The connected components of those edges are the coarse groups: classes of different groups share no band.
+2. Each such edge is verified on the full sets. The members of a centre are dealt to units of bounded size, each with
+   the centre's set, so a group of near copies of one text costs one comparison a copy, however large it is.
+3. Only in coarse groups that these links leave in several parts, sets of different parts meet too, best candidates by
+   signature first. Such a group is cut into blocks by part; every two blocks that aren't of one part meet in a unit of
+   bounded size, and pairs that links found so far connect are left out: they can't change what is reachable.
 4. The components of the verified links, carried over to all members of the classes, are the result.
 
-Null and empty texts have empty sets and link with nothing. Rows with one text always link; rows that share an id but
-not a text are judged each by its own text. Rows with a null id have a null component and are not kept.
+Null and empty texts have empty sets and link with nothing. Rows with one set always link. Rows are told apart by id
+and text together, so rows that share an id but not a text are judged each by its own text. Rows with a null id link
+like all others; they are not kept, and their component is the smallest id that they reach, null without one.
 """
 
 from __future__ import annotations
@@ -24,16 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import WORD, cut, mix64, shingle_hashes, small_batches, table, texts_of, tidy, word_hashes
+from .common import WORD, cut, join_hot, mix64, release, row_of, shingle_hashes, small_batches, table, texts_of, tidy, word_hashes
 from .components import components
 
 WIDTH = 5
 COORDINATES = 256
-#: Shingles of the documents in one block of a unit of work.
+#: Shingles of the documents in one block of a unit of work; a longer document is a block of its own.
 BLOCK_SHINGLES = 100_000
 #: Bits of the filter that tells which texts are needed again (1 MB on the driver, whatever the input).
 FILTER_BITS = 1 << 23
@@ -76,24 +79,29 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _mark(doc_id: str, text: str) -> Column:
+    """128 bits that tell rows apart by id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
+
+
 def _sketches(docs: DataFrame, rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, bands (empty without shingles) for each row."""
+    """doc_id, mark, n_shingles, digest of the set, bands (empty without shingles) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, bands = [], [], []
-            for raw in texts_of(batch.column(1)):
+            for raw in texts_of(batch.column(2)):
                 found = shingle_set(raw)
                 sizes.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 bands.append(band_keys(signature(found), rows) if len(found) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "bands"],
+                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "mark", "n_shingles", "digest", "bands"],
             )
         tidy()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<bigint>")
+    return docs.mapInArrow(run, "doc_id long, mark binary, n_shingles long, digest binary, bands array<bigint>")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -106,46 +114,49 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verify(ids: list[int], groups: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect, inside each group, all that the similar pairs of its sets connect."""
+def verify(parts: list[int], blocks: list[int], sets: list[np.ndarray], sigs: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect all parts that the similar pairs of a group's sets connect.
+
+    parts: what earlier links have connected, the same for the members of a part. blocks: if there are several, pairs
+    inside one are not looked at, as another unit does.
+    """
+    n = len(sets)
+    sizes, part, block = np.array([len(x) for x in sets]), np.array(parts), np.array(blocks)
+    inside = len(set(blocks)) < 2
+    stack = np.stack(sigs)
+    near: list[tuple[int, int, int]] = []
+    for i in range(n - 1):
+        fit = (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i])) & (part[i + 1 :] != part[i])
+        if not inside:
+            fit &= block[i + 1 :] != block[i]
+        at = np.flatnonzero(fit)
+        equal = (stack[at + i + 1] == stack[i]).sum(axis=1)
+        # A byte agrees by chance once in 256 coordinates: that only adds candidates.
+        good = equal >= COORDINATES * (percent / 100 - MARGIN)
+        near += zip((-equal[good]).tolist(), [i] * int(good.sum()), (at[good] + i + 1).tolist())
+    near.sort()
+    root: dict[int, int] = {p: p for p in parts}
+
+    def top(p: int) -> int:
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
     links = []
-    order = np.argsort(np.array(groups), kind="stable")
-    bounds = np.flatnonzero(np.diff(np.array(groups)[order])) + 1
-    for members in np.split(order, bounds):
-        n = len(members)
-        if n < 2:
-            continue
-        sizes = np.array([len(sets[k]) for k in members])
-        sigs = np.stack([signature(sets[k]) for k in members]).astype(np.uint8)
-        near: list[tuple[int, int, int]] = []
-        for i in range(n - 1):
-            equal = (sigs[i + 1 :] == sigs[i]).sum(axis=1)
-            # A byte agrees by chance once in 256 coordinates: that only adds candidates.
-            fit = (equal >= COORDINATES * (percent / 100 - MARGIN)) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i]))
-            at = np.flatnonzero(fit)
-            near += zip((-equal[at]).tolist(), [i] * len(at), (at + i + 1).tolist())
-        near.sort()
-        root = list(range(n))
-
-        def top(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        for _, i, j in near:
-            a, b = top(i), top(j)
-            if a != b and similar(sets[members[i]], sets[members[j]], percent):
-                root[max(a, b)] = min(a, b)
-                links.append((ids[members[i]], ids[members[j]]))
+    for _, i, j in near:
+        a, b = top(parts[i]), top(parts[j])
+        if a != b and similar(sets[i], sets[j], percent):
+            root[max(a, b)] = min(a, b)
+            links.append((parts[i], parts[j]))
     return links
 
 
 def _wanted(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """docs without most rows whose id isn't a member's, by a filter of fixed size; it never drops a member."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    of = lambda bit: (F.bitmap_bucket_number(bit).alias("k"), F.bitmap_bit_position(bit).alias("at"))
-    maps = members.select(*of(place("rep"))).groupBy("k").agg(F.bitmap_construct_agg("at").alias("map")).collect()
+    """docs (mark, text) without most rows whose mark isn't a member's, by a filter of fixed size; it never drops a member."""
+    place = F.pmod(F.xxhash64("mark"), F.lit(FILTER_BITS))
+    of = (F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("at"))
+    maps = members.select(*of).groupBy("k").agg(F.bitmap_construct_agg("at").alias("map")).collect()
     width = 1 << 12  # bytes of a bitmap
     bits = np.zeros((FILTER_BITS // (8 * width) + 2) * width, np.uint8)
     for r in maps:
@@ -156,76 +167,154 @@ def _wanted(docs: DataFrame, members: DataFrame) -> DataFrame:
         at = at.to_numpy(np.int64)
         return pd.Series((bits[k.to_numpy(np.int64) * width + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1)
 
-    bit = place("doc_id")
-    return docs.filter(F.col("doc_id").isNotNull()).filter(may_hold(F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)))
+    return docs.filter(may_hold(F.bitmap_bucket_number(place), F.bitmap_bit_position(place)))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text); similarity: percent / 100 or more."""
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = cut(_sketches(docs, rows_per_band(percent)), "sketches")
-    classes = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """node, shingles (the whole sorted set), sig (a byte of each coordinate) for members (node, mark)."""
 
-    # 1. coarse groups
-    keyed = classes.select("rep", F.explode("bands").alias("key"))
-    centres = keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).filter("centre <> other").select("key", "centre")
-    star = keyed.join(centres, "key").filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-    hung = components(star)
-    roots = hung.select(F.col("component").alias("node"), "component").distinct()
-    members = hung.unionByName(roots).withColumnsRenamed({"node": "rep", "component": "group"})
-    sizes = classes.groupBy("rep").agg(F.max("n").alias("n"))
-    members = cut(members.join(sizes, "rep"), "members")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(x) for x in texts_of(batch.column(1))]
+            sigs = [signature(x).astype(np.uint8).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array(sigs, pa.binary())], names=["node", "shingles", "sig"])
+        tidy()
 
-    # 2. units of work
-    weights = members.groupBy("group").agg(F.sum("n").alias("w"))
-    small = weights.filter(F.col("w") <= BLOCK_SHINGLES).agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()["w"]
-    bins = max(1, -(-small // BLOCK_SHINGLES))
-    blocks = F.ceil(F.col("w") / BLOCK_SHINGLES).cast("int")
-    placed = members.join(weights, "group").withColumn("i", F.when(blocks > 1, F.pmod(F.xxhash64("rep"), blocks)).cast("int"))
-    pair = lambda j: F.concat_ws(":", "group", F.least(F.col("i"), j), F.greatest(F.col("i"), j))
-    units = F.when(blocks > 1, F.transform(F.sequence(F.lit(0), blocks - 1), pair)).otherwise(F.array(F.pmod(F.xxhash64("group"), F.lit(bins)).cast("string")))
-    placed = placed.select("rep", "group", units.alias("units"))
-    texts = _wanted(docs, members).join(placed, F.col("doc_id") == F.col("rep")).select("doc_id", "group", "units", "text")
+    # Rows that repeat id and text come down to one before they are shuffled.
+    texts = _wanted(docs.select(_mark("doc_id", "text").alias("mark"), "text"), members).dropDuplicates(["mark"])
+    return texts.join(members, "mark").select("node", "text").mapInArrow(run, "node long, shingles binary, sig binary")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _with_centres(star: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b of each edge of star (member a, centre b) whose sets are similar."""
+    loads = star.join(members.select(F.col("node").alias("a"), "n"), "a")
+    large = loads.groupBy("b").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("units"))
+    dealt = loads.join(large, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("units")).alias("salt"))
+    roles = dealt.select(F.col("a").alias("node"), "b", "salt", F.lit(1).alias("role")).unionByName(dealt.select(F.col("b").alias("node"), "b", "salt", F.lit(0).alias("role")).distinct())
+    units = roles.join(sets, "node").select("b", "salt", "role", "node", "shingles").repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = centre = None
         for batch in batches:
-            found = pa.array([shingle_set(x).tobytes() for x in texts_of(batch.column(3))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], found], names=["doc_id", "group", "units", "shingles"])
+            found: list[tuple[int, int]] = []
+            for b, salt, role, node, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.frombuffer(shingles, np.uint64)
+                if (b, salt) != unit:
+                    unit, centre = (b, salt), None
+                if not role:
+                    centre = own
+                elif similar(centre, own, percent):
+                    found.append((node, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
         tidy()
 
-    whole = texts.mapInArrow(sets, "doc_id long, group long, units array<string>, shingles binary")
-    dealt = whole.select("doc_id", "group", F.explode("units").alias("unit"), "shingles").repartition("unit").sortWithinPartitions("unit")
+    return units.mapInArrow(check, "a long, b long")
+
+
+def _between_parts(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links a, b between parts of members (node, group, part, n) that similar sets of one group connect; None if every
+    group has one part."""
+    several = members.groupBy("group").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.sum("n").alias("w")).filter("lo <> hi").select("group", "w")
+    open_ = cut(members.join(several, "group"), "open")
+    if open_.isEmpty():
+        return None
+    large = F.col("w") > BLOCK_SHINGLES
+    small = open_.filter(~large).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("w")).first()["w"]
+    bins = max(1, -(-small // BLOCK_SHINGLES))
+    # Blocks of a large group: first those that small parts share, then those of each large part.
+    by_part = open_.filter(large).groupBy("group", "part").agg(F.sum("n").alias("pw"))
+    shared = by_part.filter(F.col("pw") <= BLOCK_SHINGLES).groupBy("group").agg(F.ceil(F.sum("pw") / BLOCK_SHINGLES).cast("int").alias("s"))
+    whole = by_part.filter(F.col("pw") > BLOCK_SHINGLES).withColumn("own", F.ceil(F.col("pw") / BLOCK_SHINGLES).cast("int"))
+    order = Window.partitionBy("group").orderBy("part")
+    whole = whole.join(shared, "group", "left").withColumn("s", F.coalesce("s", F.lit(0)))
+    whole = whole.withColumn("hi", F.col("s") + F.sum("own").over(order)).withColumn("lo", F.col("hi") - F.col("own"))
+    counts = shared.join(whole.groupBy("group").agg(F.max("hi").alias("most")), "group", "full_outer").select("group", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("most", "s").alias("blocks"))
+    placed = open_.join(counts, "group", "left").join(whole.select("group", "part", "lo", "hi"), ["group", "part"], "left")
+    own = F.when(F.col("lo").isNotNull(), F.col("lo") + F.pmod(F.xxhash64("node"), F.col("hi") - F.col("lo"))).otherwise(F.pmod(F.xxhash64("part"), F.col("s"))).cast("int")
+    placed = placed.withColumn("i", F.when(F.col("blocks").isNotNull(), own))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.col("lo").isNull() | (j < F.col("lo")) | (j >= F.col("hi")))
+    pair = lambda j: F.concat_ws(":", "group", F.least(F.col("i"), j), F.greatest(F.col("i"), j))
+    units = F.when(F.col("blocks").isNotNull(), F.transform(others, pair)).otherwise(F.array(F.pmod(F.xxhash64("group"), F.lit(bins)).cast("string")))
+    placed = placed.select("node", "group", "part", F.coalesce("i", F.lit(0)).alias("block"), F.explode(units).alias("unit"))
+    dealt = placed.join(sets, "node").select("unit", "group", "part", "block", "shingles", "sig").repartition("unit").sortWithinPartitions("unit", "group")
 
-    # 3. links
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held = None, ([], [], [])
+        at, held = None, ([], [], [], [])
 
         def done() -> pa.RecordBatch:
-            links = verify(*held, percent)
+            links = verify(*held, percent) if len(held[0]) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for doc_id, group, of, shingles in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if of != unit:
-                    if unit is not None:
+            for unit, group, part, i, shingles, sig in zip(*(c.to_pylist() for c in batch.columns)):
+                if (unit, group) != at:
+                    if at is not None:
                         yield done()
-                    unit, held = of, ([], [], [])
-                held[0].append(doc_id)
-                held[1].append(group)
-                held[2].append(np.frombuffer(shingles, np.uint64))
-        if unit is not None:
+                    at, held = (unit, group), ([], [], [], [])
+                for k, x in enumerate((part, i, np.frombuffer(shingles, np.uint64), np.frombuffer(sig, np.uint8))):
+                    held[k].append(x)
+        if at is not None:
             yield done()
+        tidy()
 
     links = cut(dealt.mapInArrow(check, "a long, b long"), "links")
+    release(open_)
+    return links
+
+
+def _all_of(hung: DataFrame, name: str) -> DataFrame:
+    """node, `name`: what components() gives, with the smallest nodes themselves."""
+    roots = hung.select(F.col("component").alias("node"), "component").distinct()
+    return hung.unionByName(roots).withColumnRenamed("component", name)
+
+
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, mark, n_shingles, first (doc_id and mark of the first row of its component; null without words) for each
+    row of docs (doc_id, text)."""
+    sketches = cut(_sketches(docs.select("doc_id", _mark("doc_id", "text").alias("mark"), "text"), rows_per_band(percent)), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    classes = sketches.filter("n_shingles > 0").groupBy("digest").agg(first, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    # 1. coarse groups
+    keyed = classes.select("node", F.explode("bands").alias("key"))
+    centres = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).filter("centre <> other").select("key", "centre")
+    star = cut(keyed.join(centres, "key").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "star")
+    groups = _all_of(components(star), "group")
+    members = cut(groups.join(classes.select("node", "n", F.col("first.mark").alias("mark")), "node"), "members")
+
+    # 2. and 3. links
+    sets = cut(_sets(docs, members.select("node", "mark")), "sets")
+    parts = cut(_all_of(components(cut(_with_centres(star, members, sets, percent), "links")), "part"), "parts")
+    apart = members.select("node", "group", "n").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    more = _between_parts(apart, sets, percent)
 
     # 4. components
-    linked = components(links).withColumnsRenamed({"node": "rep", "component": "least"})
-    known = classes.select("digest", "rep").join(linked, "rep", "left").select("digest", F.coalesce("least", "rep").alias("least"))
-    known = known.groupBy("digest").agg(F.min("least").alias("least"))
-    out = sketches.select("doc_id", "n_shingles", "digest").join(known, "digest", "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", own.alias("component_id"))
+    linked = parts
+    if more is not None:
+        joined = _all_of(components(more), "whole").withColumnRenamed("node", "part")
+        alone = joined.join(parts, "part", "left_anti").select(F.col("part").alias("node"), "whole")
+        linked = cut(parts.join(joined, "part", "left").select("node", F.coalesce("whole", "part").alias("part")).unionByName(alone.withColumnRenamed("whole", "part")), "linked")
+    of = linked.join(classes.select("node", "first"), "node")
+    least = of.groupBy("part").agg(F.min("first").alias("least"), F.count("*").alias("times"))
+    least = join_hot(linked, cut(least, "least"), "part", "times").select("node", "least")
+    known = classes.join(least, "node", "left").select("digest", F.coalesce("least", "first").alias("first"), "copies")
+    own = sketches.select("doc_id", "mark", "n_shingles", "digest")
+    with_words = join_hot(own.filter("n_shingles > 0"), cut(known, "known"), "digest", "copies")
+    wordless = own.filter("n_shingles = 0").withColumn("first", F.lit(None).cast(known.schema["first"].dataType))
+    release(star, sets)
+    return with_words.unionByName(wordless).drop("digest")
+
+
+def _cast(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text); similarity: percent / 100 or more."""
+    component = F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    out = _judged(_cast(docs), percent).select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -235,10 +324,12 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_firsts(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs without all but one row of each group of near-duplicates: that with the smallest id, of several with that
-    id and the group's any one. Rows without words link with nothing and stay, rows without an id too."""
-    found = near_duplicates(docs, percent).select("doc_id", "kept").filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    left = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
-    # Repeated rows share an id, so all of them are first; no word: they link with nothing.
-    wordless = ~F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False)) | F.col("doc_id").isNull()
-    return left.filter(wordless).unionByName(left.filter(~wordless).dropDuplicates(["doc_id"]))
+    """docs without all but one row of each group of near-duplicates: that with the smallest id (null ids last), of
+    several with that id and different texts one by a hash of the text, of rows that repeat id and text any one. Rows
+    without words link with nothing, and all of them stay."""
+    judged = _judged(_cast(docs), percent)
+    firsts = judged.filter("n_shingles > 0 AND mark = first.mark").select("mark").distinct()
+    text = F.col("text").cast("string")
+    rows = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(WORD), F.lit(False)).alias("worded"))
+    kept = rows.filter("worded").select("row", _mark("doc_id", "text").alias("mark")).dropDuplicates(["mark"]).join(firsts, "mark", "left_semi")
+    return kept.select("row.*").unionByName(rows.filter("NOT worded").select("row.*"))
