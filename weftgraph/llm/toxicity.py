@@ -6,11 +6,12 @@ clean. This estimate can't be negative in truth; where it becomes so while fitti
 which keeps the classifier from fitting the positives by heart. The classifier is logistic, in numpy, on the presence
 of words; the words are those most unevenly spread between the two sets.
 
-Training reads a bounded sample: at most POSITIVES toxic and about UNLABELLED other documents, chosen by a hash of
-doc_id, and FEATURES words. Labels, language, source and doc_id are no inputs of a score. Rows held out (crc32 of the
-id's text, modulo 4, is 2; a null id isn't held out) are not trained on. Every text is scored whole; null and empty
-texts get the score of a text without known words; without any toxic label all scores are 0. Equal texts get equal
-scores; a document with several labels is toxic if one of them says so.
+Training reads a bounded sample: at most POSITIVES toxic and UNLABELLED other documents, those with the smallest
+64-bit hashes of id and text, and FEATURES words. Rows that repeat id and text are drawn as one. Labels, language,
+source and doc_id are no inputs of a score. Rows held out (crc32 of the id's text, modulo 4, is 2; a null id isn't held
+out) are not trained on. Every text is scored whole; null and empty texts get the score of a text without known words;
+without a toxic label, or without a document to draw as unlabelled, all scores are 0. Equal texts get equal scores; a
+document with several labels is toxic if one of them says so; rows that share an id share its label.
 """
 
 from __future__ import annotations
@@ -24,15 +25,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, letter_words, small_batches, table, texts_of, tidy
+from .common import cut, letter_words, release, rows_with_text, small_batches, table, texts_of, tidy
 
 POSITIVES, UNLABELLED, FEATURES = 8_000, 20_000, 2_000
 #: Toxic documents that must hold a word before it can be a feature.
-LEAST_SEEN = 3
+LEAST_SEEN = 5
 #: Standard errors by which its shares among toxic and unlabelled documents must differ.
 LEAST_UNEVEN = 1.5
+#: What the squares of weights cost, over the number of positives. This and the two above: by cross-validation inside
+#: the rows that aren't held out.
+RIDGE = 0.1
 PREDICT_AT, REJECT_AT = 0.3, 0.3
-_PARTS = 1_000_000
+#: How many more rows than wanted pass the first, unsorted choice: room for the spread of a random number of rows.
+_SPARE = 1.1
+
+
+def share(wanted: int, n: int) -> float:
+    """The share of n rows to choose at random for `wanted` of them to be there; no rounding, whatever n is."""
+    return min(1.0, (_SPARE * wanted + 200) / n) if n else 1.0
+
+
+def _unit(h: Column) -> Column:
+    """A 64-bit hash as a number from 0 to 1."""
+    return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
+
+
+def _smallest(rows: DataFrame, wanted: int) -> int:
+    """The wanted-th smallest h of rows (h), or one that all are under."""
+    last = rows.select("h").distinct().orderBy("h").limit(wanted).agg(F.max("h").alias("h"), F.count("*").alias("n")).first()
+    return last["h"] if last["n"] == wanted else (1 << 63) - 1
+
 
 
 @dataclass
@@ -53,22 +75,25 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def risk_slope(z: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarray:
+    """How the risk estimate changes with each document's log odds of being toxic.
+
+    Where the part of it that stands for clean documents is negative, the step goes against that part instead.
+    """
+    n_pos, n_unl = max(1, int(positive.sum())), max(1, int((~positive).sum()))
+    p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    lost = np.logaddexp(0, z)  # of calling each clean: -log(1 - p)
+    clean_risk = lost[~positive].sum() / n_unl - prior * lost[positive].sum() / n_pos
+    of_clean = np.where(positive, -prior * p / n_pos, p / n_unl)
+    return -of_clean if clean_risk < 0 else of_clean + np.where(positive, prior * (p - 1) / n_pos, 0)
+
+
 def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights and bias. rows, cols: where a document has a feature; positive: for each document, else unlabelled."""
-    n_pos, n_unl = max(1, int(positive.sum())), max(1, int((~positive).sum()))
     weights, bias = np.zeros(n_features), float(np.log(prior / (1 - prior)))
     first, second = np.zeros(n_features + 1), np.zeros(n_features + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     for step in range(1, steps + 1):
-        z = bias + np.bincount(rows, weights[cols], minlength=len(positive))
-        p = sigmoid(z)
-        lost = np.logaddexp(0, z)  # of calling each clean: -log(1 - p)
-        clean_risk = lost[~positive].mean() - prior * lost[positive].mean() if n_unl else 0.0
-        of_clean = np.where(positive, -prior * p / n_pos, p / n_unl)
-        if clean_risk < 0:
-            slope = -of_clean
-        else:
-            slope = of_clean + np.where(positive, prior * (p - 1) / n_pos, 0)
+        slope = risk_slope(bias + np.bincount(rows, weights[cols], minlength=len(positive)), positive, prior)
         grad = np.append(np.bincount(cols, slope[rows], minlength=n_features) + l2 * weights, slope.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -79,28 +104,32 @@ def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, n_feature
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, features: int = FEATURES) -> Model | None:
     """A model from docs (doc_id, text) and labels (doc_id, toxic), or None without toxic rows to learn from."""
     small_batches(docs.sparkSession)
-    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(_PARTS))
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = known.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)).alias("toxic")).first()
     n_docs = docs.count()
     if not counts["toxic"] or not n_docs:
         return None
     prior = float(np.clip(counts["toxic"] / counts["n"], 1e-4, 0.9))
-    wanted = lambda most, n: part < int(_PARTS * min(1.0, most / n))
-    # Bounded by `positives`, hence a broadcast.
-    toxic = known.filter((F.col("toxic") == 1) & wanted(positives, counts["toxic"])).select("doc_id", F.lit(True).alias("_toxic")).limit(2 * positives)
-    both = docs.filter(~held_out()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(toxic), "doc_id", "left")
-    sample = both.select("text", F.coalesce("_toxic", F.lit(False)).alias("toxic"), wanted(unlabelled, n_docs).alias("drawn")).filter("toxic OR drawn")
+    toxic = known.filter((F.col("toxic") == 1) & (_unit(F.xxhash64("doc_id")) < share(positives, counts["toxic"]))).select("doc_id")
+    # At most `positives` ids, hence a broadcast.
+    toxic = toxic.orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).select("doc_id", F.lit(True).alias("toxic"))
+    own = docs.filter(~held_out()).select("doc_id", F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("doc_id", "text"))
+    both = own.join(F.broadcast(toxic), "doc_id", "left").select("text", "h", F.coalesce("toxic", F.lit(False)).alias("toxic"), (_unit(F.col("h")) < share(unlabelled, n_docs)).alias("drawn"))
+    sample = both.filter("toxic OR drawn")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(letter_words(x)).astype(np.int64).tolist() for x in texts_of(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), batch.column(1), batch.column(2)], names=["words", "toxic", "drawn"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), *batch.columns[1:]], names=["words", "h", "toxic", "drawn"])
 
-    sample = cut(sample.mapInArrow(words, "words array<bigint>, toxic boolean, drawn boolean"), "toxicity")
+    chosen_rows = cut(sample.mapInArrow(words, "words array<bigint>, h long, toxic boolean, drawn boolean"), "toxicity")
+    last_toxic, last_drawn = _smallest(chosen_rows.filter("toxic"), positives), _smallest(chosen_rows.filter("drawn"), unlabelled)
+    sample = chosen_rows.withColumns({"toxic": F.col("toxic") & (F.col("h") <= last_toxic), "drawn": F.col("drawn") & (F.col("h") <= last_drawn)})
+    sample = cut(sample.filter("toxic OR drawn").dropDuplicates(["h"]), "toxicity")
+    release(chosen_rows)
     size = sample.agg(F.sum(F.col("toxic").cast("long")).alias("p"), F.sum(F.col("drawn").cast("long")).alias("u")).first()
-    n_pos, n_unl = size["p"] or 0, max(1, size["u"] or 0)
-    if not n_pos:
+    n_pos, n_unl = size["p"] or 0, size["u"] or 0
+    if not n_pos or not n_unl:
         return None
     seen = sample.select(F.explode("words").alias("word"), F.col("toxic").cast("int").alias("p"), F.col("drawn").cast("int").alias("u"))
     seen = seen.groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter(F.col("p") >= LEAST_SEEN)
@@ -117,42 +146,45 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
                 at = np.searchsorted(chosen, found)
                 at = np.minimum(at, max(0, len(chosen) - 1))
                 out.append(at[chosen[at] == found].astype("<u2").tobytes() if len(chosen) and len(found) else b"")
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1), batch.column(2)], names=["at", "toxic", "drawn"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), *batch.columns[1:]], names=["at", "h", "toxic", "drawn"])
 
     rows, cols, positive, k = [], [], [], 0
-    for r in sample.mapInArrow(places, "at binary, toxic boolean, drawn boolean").orderBy("toxic", "drawn", "at").toLocalIterator():
+    for r in sample.mapInArrow(places, "at binary, h long, toxic boolean, drawn boolean").orderBy("h").toLocalIterator():
         at = np.frombuffer(r["at"], "<u2").astype(np.int64)
         for kind in [True] * r["toxic"] + [False] * r["drawn"]:  # a toxic document may be drawn as an unlabelled one too
             rows.append(np.full(len(at), k))
             cols.append(at)
             positive.append(kind)
             k += 1
-    weights, bias = fit_nnpu(np.concatenate(rows), np.concatenate(cols), np.array(positive), len(chosen), prior, l2=2e-4 + 0.02 / n_pos)
+    weights, bias = fit_nnpu(np.concatenate(rows), np.concatenate(cols), np.array(positive), len(chosen), prior, l2=2e-4 + RIDGE / n_pos)
     order = np.argsort(chosen.astype(np.uint64))
     return Model(chosen.astype(np.uint64)[order], weights[order], bias)
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:
-    """df with `out` (0 to 1) beside its columns."""
+    """df with `out` (0 to 1) beside its columns; a column of that name is replaced."""
+    rest = df.select(*(F.col(f"`{c}`") for c in df.columns if c != out))
+    return scored(rest, model, text).select("row.*", F.col("score").alias(out))
+
+
+def scored(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """row (the row of df) and score for each row of df."""
+    rows, texts = rows_with_text(df, text)
     if model is None:
-        return df.withColumn(out, F.lit(0.0))
+        return rows.select("row", F.lit(0.0).alias("score"))
     small_batches(df.sparkSession)
-    rest = [c for c in df.columns if c != out]
-    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(rest.index(text))
-            found = pa.array([model.score(x) for x in texts_of(texts)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*rest, out])
+            found = pa.array([model.score(x) for x in texts_of(texts(batch))], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["row", "score"])
         tidy()
 
-    return df.select(*rest).mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    scored = score(docs, model).select("doc_id", "score")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))
