@@ -6,13 +6,15 @@ votes good on good texts and bad on bad ones, together with the share of good te
 posterior probability of quality. A document stays if that is KEEP_AT or more and the base limits don't rule it out.
 
 Votes of all documents are counted by Spark; only the counted patterns (3 to the power of the rules at most, whatever
-the input) reach the driver and go back as a table. Null and empty texts have no words and fail the base limits.
-Equal texts get equal verdicts; other columns pass through. Without rows there is nothing to learn and no result.
+the input) reach the driver. What is learnt, two numbers a rule, goes back as an expression on the votes. Null and empty
+texts have no words and fail the base limits. Equal texts get equal verdicts; other columns pass through, those called
+as a result column are replaced. Without rows there is nothing to learn and no result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shingle_hashes, small_batches, span_hashes, table, texts_of, tidy, word_spans
+from .common import cut, release, rows_with_text, shingle_hashes, small_batches, span_hashes, table, texts_of, tidy, word_spans
 
-STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_distinct_words", "n_same_as_last", "n_short_words", "n_lettered_words", "n_bar_words"]
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_distinct_words", "n_same_as_last", "n_short_words", "n_lettered_words"]
 GOOD, BAD, ABSTAIN = 1, 0, -1
 MIN_WORDS, KEEP_AT = 50, 0.5
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -50,7 +52,6 @@ def rules() -> dict[str, Column]:
         "stutter": F.when(few, ABSTAIN).otherwise(_vote(F.col("n_same_as_last") / words, 0.15, 0.05)),
         "short_words": F.when(few, ABSTAIN).otherwise(_vote(1 - F.col("n_short_words") / words, 0.95, 0.85)),
         "letters": _vote(1 - F.col("n_lettered_words") / words, 0.25, 0.1),
-        "bars": _vote(F.col("n_bar_words") / words, 0.1, 0.01),
     }
 
 
@@ -84,7 +85,6 @@ def statistics_of(raw: memoryview) -> list[int]:
     return [
         n, chars, int(_SYMBOL[b].sum()), len(line_hash) - len(np.unique(line_hash)), repeated, len(line_hash), int(ended.sum()),
         len(np.unique(hashes)), int((hashes[1:] == hashes[:-1]).sum()), int((length <= 3).sum()), int((letters[end] > letters[start]).sum()),
-        int(((length == 1) & (b[start] == 124)).sum()),
     ]
 
 
@@ -122,61 +122,67 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[
         log_good = np.log(share) + np.where(cast, np.where(good, np.log(on_good), np.log1p(-on_good)), 0).sum(axis=1)
         log_bad = np.log1p(-share) + np.where(cast, np.where(good, np.log1p(-np.minimum(on_bad, 1 - 1e-9)), np.log(on_bad)), 0).sum(axis=1)
         new = 1 / (1 + np.exp(np.clip(log_bad - log_good, -700, 700)))
-        if np.abs(new - posterior).max() < 1e-9:
+        if np.abs(new - posterior).max(initial=0) < 1e-9:
             posterior = new
             break
         posterior = new
     return posterior, on_good, on_bad, float(share)
 
 
-def _learn(voted: DataFrame) -> DataFrame:
-    """p_quality for each pattern of _votes."""
-    found = voted.groupBy("_votes").agg(F.count("*").alias("n")).collect()
-    found.sort(key=lambda r: r["_votes"])
-    votes = np.array([[int(x) for x in r["_votes"].split(",")] for r in found], np.int64).reshape(len(found), len(rules()))
-    posterior = estimate(votes, np.array([r["n"] for r in found], float))[0] if found else []
-    return voted.sparkSession.createDataFrame([(r["_votes"], float(p)) for r, p in zip(found, posterior)], "_votes string, p_quality double")
+@dataclass(frozen=True)
+class Trust:
+    """What was learnt: log odds of quality without votes, and what each rule's vote for good and for bad adds."""
 
+    start: float
+    for_good: tuple[float, ...]
+    for_bad: tuple[float, ...]
+
+    def p_quality(self) -> Column:
+        odds = F.lit(self.start)
+        for vote, good, bad in zip(rules().values(), self.for_good, self.for_bad):
+            odds = odds + F.when(vote == GOOD, good).when(vote == BAD, bad).otherwise(0.0)
+        return 1 / (1 + F.exp(-odds))
 
-def _base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
+def learn(counted: DataFrame) -> Trust:
+    """Estimates from the votes on all rows of counted (STATISTICS)."""
+    found = counted.groupBy(*(v.alias(name) for name, v in rules().items())).agg(F.count("*").alias("n")).collect()
+    found = sorted(map(tuple, found))
+    rows = np.array(found, np.int64).reshape(len(found), len(rules()) + 1)
+    _, good, bad, share = estimate(rows[:, :-1], rows[:, -1].astype(float))
+    good, bad = (np.clip(x, 1e-9, 1 - 1e-9) for x in (good, bad))
+    return Trust(float(np.log(share / (1 - share))), tuple(np.log(good / (1 - bad)).tolist()), tuple(np.log((1 - good) / bad).tolist()))
 
-def _pattern() -> Column:
-    return F.concat_ws(",", *(v.cast("string") for v in rules().values()))
+
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def judge_quality(df: DataFrame, text: str = "text") -> DataFrame:
     """df with STATISTICS, p_quality, base_failed and kept in place of the text."""
-    own = [c for c in df.columns if c != text and c not in (*STATISTICS, "p_quality", "base_failed", "kept", "_votes")]
+    own = [c for c in df.columns if c != text and c not in (*STATISTICS, "p_quality", "base_failed", "kept")]
     counted = cut(statistics(df.select(*own, text), text), "quality")
-    voted = counted.withColumn("_votes", _pattern())
-    # Patterns number 3 to the power of the rules at most: a broadcast of bounded size.
-    judged = voted.join(F.broadcast(_learn(voted)), "_votes").drop("_votes").withColumn("base_failed", _base_failed())
+    judged = counted.withColumn("p_quality", learn(counted).p_quality()).withColumn("base_failed", _base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_quality") >= KEEP_AT))
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the rows that aren't kept. Texts are measured twice, once to count votes and once to filter, so
-    that none is shuffled or written."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    voted = cut(statistics(docs.select(text), text), "votes").withColumn("_votes", _pattern())
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"_{c}", T.LongType()) for c in STATISTICS)])
-    at = names.index(text)
+    that none is shuffled or written; each row is judged by its own statistics of the second time."""
+    small_batches(docs.sparkSession)
+    counted = cut(statistics(docs.select(F.col(text).alias("text"))), "votes")
+    trust = learn(counted)
+    release(counted)
+    rows, texts = rows_with_text(docs, text)
+    schema = T.StructType([rows.schema["row"], *(T.StructField(c, T.LongType()) for c in STATISTICS)])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([statistics_of(x) for x in texts_of(batch.column(at).cast(pa.string()))], np.int64).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, k]) for k in range(len(STATISTICS)))], names=schema.names)
+            found = np.array([statistics_of(x) for x in texts_of(texts(batch))], np.int64).reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k]) for k in range(len(STATISTICS)))], names=schema.names)
         tidy()
 
-    measured = docs.mapInArrow(measure, schema)
-    # The statistics under their own names beside the row itself, whatever its columns are called.
-    whole = measured.select(F.struct(*names).alias("_row"), *(F.col(f"_{c}").alias(c) for c in STATISTICS)).withColumn("_votes", _pattern())
-    judged = whole.join(F.broadcast(_learn(voted)), "_votes").filter(~_base_failed() & (F.col("p_quality") >= KEEP_AT))
-    return judged.select("_row.*")
+    return rows.mapInArrow(measure, schema).filter(~_base_failed() & (trust.p_quality() >= KEEP_AT)).select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
