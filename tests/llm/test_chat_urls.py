@@ -63,7 +63,9 @@ def plain_rule(url):
 def test_rules_and_verdicts(spark):
     odd = [None, "", "no scheme", "http://", "HTTP://Ex.NET", "http://Example.NET/en/x", "http://notexample.net/en/", "ftp://a.example.com/de/?q=/x#y", "http://x.org/fr", "http://x.org/fr/a?b#c", "a://b://c/d", "http://a?x/://y", "http://ÄÖ.net/é\n/z"]
     odd += [f"http://h{k}.example.net/{l}/{k}?a={k}&b=1" for k in range(30) for l in ("en", "de")] + [f"http://h{k}.example.org/es/{k}" for k in range(10)]
-    df = spark.createDataFrame([(k, u, "mine", 1.0) for k, u in enumerate(odd)], "page_id long, url string, verdict string, label double")
+    odd += ["http://a.com/" + "x/" * 20_000, odd[20], odd[20]]
+    df = spark.createDataFrame([(k, u, "mine", 1.0, "a", "b", 3) for k, u in enumerate(odd)], "page_id long, url string, verdict string, label double, f_length string, k_suffix string, row int")
+    assert urls.judge_urls(df).columns == ["page_id", "url", "label", "f_length", "k_suffix", "row", "host", "path", "rule", "verdict", "p_block"]
     got = {r.page_id: r for r in urls.judge_urls(df).collect()}
     assert len(got) == len(odd)
     for k, u in enumerate(odd):
@@ -81,3 +83,44 @@ def test_trees_learn_what_labels_show(spark):
     assert len(got) > 100
     # The suffix doesn't tell them apart, lengths do: "good" is longer than "bad".
     assert sum((r.verdict == "block") == (".bad." in r.url) for r in got) / len(got) > 0.9
+
+
+def test_url_query(spark):
+    sf = "/root/testdata/sf0.001"
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r.page_id: r for r in queries.queries()["op5_url_filter"](spark, sf).collect()}
+    assert got.keys() == pages.keys()
+    for i, url in pages.items():
+        host, path, rule, verdict = plain_rule(url)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
+        assert got[i].verdict == verdict if rule else got[i].verdict == ("block" if got[i].p_block > 0.5 else "allow")
+
+
+def test_features_and_shares_as_counted_by_hand(spark):
+    import math
+    from collections import Counter
+
+    url = "https://a-b.example.com/de//x1/y-2?q=1&r=&#f"
+    row = urls.lexical(urls.found_in(spark.createDataFrame([(url,)], "url string"))).first()
+    n, each = len(url), Counter(url)
+    want = [n, 15, 11, 3, 3 / n, -sum(c / n * math.log2(c / n) for c in each.values()), 2, 3, 2, 1]
+    assert [row[f] for f in urls.FEATURES[:10]] == [__import__("pytest").approx(x) for x in want] and (row.k_suffix, row.k_segment) == ("com", "de")
+    seen = [(f"http://h{k}.{'net' if k % 3 else 'com'}/{'ab'[k % 2]}/{k}", float(k % 4 == 0)) for k in range(60)]
+    labelled = urls.found_in(spark.createDataFrame(seen, "url string, label double")).select("url", "host", "path", "row.label")
+    trees = urls.Trees(labelled)
+    fold = {r.host: r.fold for r in labelled.select("host", urls.F.pmod(urls.F.xxhash64("host"), urls.F.lit(urls.FOLDS)).alias("fold")).collect()}
+    base = (15 + 1) / (60 + 2)
+    for r in trees.judge(labelled.withColumn("row", urls.F.lit(1))).collect():
+        assert 0 <= r.p_block <= 1
+    assert len(set(fold.values())) > 1 and trees.base == base
+
+
+def test_accuracy_on_hosts_kept_apart(spark):
+    """Labels of a fifth of all hosts are kept from the trees; rules name whole domains, so other hosts tell."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    labelled = urls.labelled_in(pages).withColumn("apart", urls.F.pmod(urls.F.xxhash64("host", urls.F.lit(5)), urls.F.lit(5)) == 0)
+    trees = urls.Trees(labelled.filter("NOT apart").drop("apart"))
+    rows = trees.judge(labelled.filter("apart")).collect()
+    right = sum((r.verdict == "block") == (r.label == 1) for r in rows) / len(rows)
+    print("accuracy on", len(rows), "urls of hosts kept apart:", right, "blocked:", sum(r.label for r in rows))
+    assert right > 0.9
