@@ -9,8 +9,12 @@ whole before any block comes again, each time in another order. Slots and blocks
 Sources, in order of code points with null last, weigh 5, 2, 1 and so on again. Targets share out all words by weight,
 stop at `cap` times what a source has, and the excess is shared again by weight until no target is above.
 Sizes are words; a null text has none, and is never taken. Repeated rows are documents of their own with equal shares
-of the layout. Everything follows from the rows and the seed, so reruns agree. One row for each source, at most
-MOST_SOURCES, and the drawn counts of each shard, at most MOST_SHARDS, pass through the driver; no documents do.
+of the layout. Very long texts lie in many blocks, one row each. No column of the caller clashes with one of these.
+Without rows there is no result. Everything follows from the rows and the seed, so reruns agree.
+
+One row for each source passes through the driver; more than MOST_SOURCES are an error. Shards number MOST_SHARDS at
+most and grow beyond that. They are drawn in groups: the driver draws what each group gets of each source (MOST_DRAWN
+numbers at most), and each group draws its shards in a task of its own. No documents pass through the driver.
 """
 
 from __future__ import annotations
@@ -27,16 +31,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, small_batches, table, texts_of, tidy, word_spans
+from .common import WORD, cut, row_of, small_batches, table, texts_of, tidy, word_spans
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK_WORDS = 128
 SLOTS_PER_SHARD = 4096
 MOST_SHARDS = 20_000
-MOST_SOURCES = 1_000_000
+MOST_SOURCES, MOST_DRAWN = 1_000_000, 4_000_000
 #: Documents in a stretch of the layout that is ordered by one task.
-STRETCH_ROWS = 20_000
+STRETCH_ROWS = 4_000
+#: Copies of one row that a row stands for, when copies are listed.
+COPIES = 10_000
 
 
 @dataclass
@@ -117,7 +123,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP,
     wanted = targets(sizes, weights, cap)
     blocks = [-(-n // block) for n in sizes]
     quotas = [min(round(t * b / n), math.floor(cap) * b) if n else 0 for t, b, n in zip(wanted, blocks, sizes)]
-    schema = "src string, k int, source_size long, target double, n_blocks long"
+    schema = "src string, k long, source_size long, target double, n_blocks long"
     sources = spark.createDataFrame([(r["src"], k, n, t, b) for k, (r, n, t, b) in enumerate(zip(found, sizes, wanted, blocks))], schema)
 
     # Where each row lies: the words of all earlier stretches of its source, then of earlier rows of its stretch.
@@ -131,14 +137,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP,
     laid = rows.withColumn("at", F.coalesce(F.sum(words).over(within), F.lit(0))).join(totals, ["src", "stretch"])
     laid = laid.select("doc_id", "src", "size", "h", "copies", (F.col("at") + F.col("start")).alias("at"))
 
-    # The slots of each shard: a run of numbers for each source, taken through its permutation to block indices.
-    per_shard = max(slots, -(-sum(quotas) // MOST_SHARDS))
-    runs, done = [], np.zeros(len(quotas), np.int64)
-    for shard, drawn in enumerate(shard_counts(quotas, per_shard, seed)):
-        runs += [(shard, k, found[k]["src"], blocks[k], int(done[k]), int(done[k] + drawn[k] - 1)) for k in np.flatnonzero(drawn).tolist()]
-        done += drawn
-    taken = spark.createDataFrame(runs, "shard int, k int, src string, n_blocks long, first long, last long")
-    slot = taken.select("shard", "k", "src", "n_blocks", F.explode(F.sequence("first", "last")).alias("slot"))
+    slot = _shards(spark, quotas, max(slots, -(-sum(quotas) // MOST_SHARDS)), seed).join(F.broadcast(sources.select("k", "src", "n_blocks")), "k")
+    slot = slot.select("shard", "k", "src", "n_blocks", F.explode(F.sequence("first", "last")).alias("slot"))
 
     @F.pandas_udf(T.LongType())
     def block_of(slot: pd.Series, n: pd.Series, k: pd.Series) -> pd.Series:
@@ -150,26 +150,59 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP,
     return Mix(laid, sources, draws)
 
 
+def _shards(spark: SparkSession, quotas: list[int], per_shard: int, seed: int) -> DataFrame:
+    """shard, k (number of a source), first, last: the run of the source's slots that are the shard's."""
+    n = len(quotas)
+    shards = -(-sum(quotas) // per_shard)
+    in_group = max(64, -(-shards * n // MOST_DRAWN))
+    rows, done = [], np.zeros(n, np.int64)
+    for group, drawn in enumerate(shard_counts(quotas, per_shard * in_group, seed)):
+        rows.append((group, drawn.tobytes(), done.tobytes()))
+        done = done + drawn
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, quota, start in zip(*(c.to_pylist() for c in batch.columns)):
+                at = np.frombuffer(start, np.int64)
+                for k, drawn in enumerate(shard_counts(np.frombuffer(quota, np.int64), per_shard, seed * 1_000_003 + group + 1)):
+                    has = np.flatnonzero(drawn)
+                    shard = np.full(len(has), group * in_group + k)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(has), pa.array(at[has]), pa.array((at + drawn - 1)[has])], names=["shard", "k", "first", "last"])
+                    at = at + drawn
+
+    groups = spark.createDataFrame(rows, "group long, quota binary, start binary").repartition(max(1, min(len(rows), 200)))
+    return groups.mapInArrow(draw, "shard long, k long, first long, last long")
+
+
 def segments(mix: Mix, block: int = BLOCK_WORDS) -> DataFrame:
-    """A row for each document (doc_id, h, copy) and block that it lies in: its words first..last there; none: null block."""
-    each = mix.laid.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
-    each = each.withColumn("at", F.col("at") + F.col("copy") * F.col("size"))
+    """A row for each document with words (doc_id, h, copy) and block that it lies in: its words first..last there."""
+    laid = mix.laid.filter("size > 0")
     end = F.col("at") + F.col("size")
-    inside = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block)))
-    cut_up = each.select("doc_id", "src", "size", "h", "copy", "at", F.explode_outer(inside).alias("block"))
+    inside = F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))
+    cut_up = _copies(laid).withColumn("at", F.col("at") + F.col("copy") * F.col("size")).select("doc_id", "src", "size", "h", "copy", "at", F.explode(inside).alias("block"))
     first = F.greatest(F.col("block") * block, F.col("at")) - F.col("at")
     last = F.least((F.col("block") + 1) * block, end) - F.col("at") - 1
     return cut_up.select("doc_id", "src", "size", "h", "copy", "block", first.alias("first"), last.alias("last"))
 
 
+def _copies(laid: DataFrame) -> DataFrame:
+    """laid with a row for each of a row's copies, numbered from 0; those of a row with very many are dealt out."""
+    number = lambda first, last: F.explode(F.sequence(first, last))
+    few = laid.filter(F.col("copies") <= COPIES).withColumn("copy", number(F.lit(0).cast("long"), F.col("copies") - 1))
+    many = laid.filter(F.col("copies") > COPIES).withColumn("run", number(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))).repartition("doc_id", "h", "run")
+    many = many.withColumn("copy", number(F.col("run") * COPIES, F.least((F.col("run") + 1) * COPIES, F.col("copies")) - 1)).drop("run")
+    return few.unionByName(many)
+
+
 def taken_words(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs."""
     mix = plan(docs)
     counts = mix.draws.groupBy("src", "block").agg(F.count("*").alias("times"))
     met = segments(mix).join(counts, ["src", "block"], "left")
     words = F.coalesce((F.col("last") - F.col("first") + 1) * F.col("times"), F.lit(0))
-    each = met.groupBy("doc_id", "src", "size", "h", "copy").agg(F.sum(words).alias("taken"))
-    return each.join(mix.sources, "src").select("doc_id", "size", "source_size", "target", "taken")
+    each = met.groupBy("doc_id", "src", "size", "h", "copy").agg(F.sum(words).alias("taken")).select("doc_id", "src", "size", "taken")
+    wordless = _copies(mix.laid.filter("size = 0")).select("doc_id", "src", "size", F.lit(0).cast("long").alias("taken"))
+    return each.unionByName(wordless).join(mix.sources, "src").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -180,21 +213,23 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     mix = plan(docs)
-    parts = segments(mix).filter("block IS NOT NULL").join(mix.draws.select("src", "block", "pass"), ["src", "block"])
-    runs = parts.groupBy("doc_id", "h", "copy", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_runs"))
-    keyed = docs.withColumn("_h", F.xxhash64(*docs.columns)).dropDuplicates(["doc_id", "_h"])
-    both = keyed.join(runs.withColumnsRenamed({"doc_id": "_id", "h": "_h2", "copy": "_copy", "pass": "_pass"}), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_h") == F.col("_h2")))
-    both = both.select(*docs.columns, F.col("_runs.first").alias("_first"), F.col("_runs.last").alias("_last"))
+    parts = segments(mix).join(mix.draws.select("src", "block", "pass"), ["src", "block"])
+    runs = parts.groupBy("h", F.xxhash64("doc_id").alias("id"), "copy", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    rows = docs.select(row_of(docs), F.xxhash64(*docs.columns).alias("h"), F.xxhash64("doc_id").alias("id")).dropDuplicates(["h", "id"])
+    both = rows.join(runs, ["h", "id"]).select("row", F.struct("runs.first", "runs.last").alias("taken"))
     names = docs.columns
+    text = names.index("text")
 
     def slice_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
-            texts = [_slices(bytes(t), a, b) for t, a, b in zip(texts_of(col["text"]), col["_first"].to_pylist(), col["_last"].to_pylist())]
-            out = {c: pa.array(texts, pa.string()) if c == "text" else col[c] for c in names}
-            if "n_chars" in out:
-                out["n_chars"] = pa.array([len(t) for t in texts], pa.int64()).cast(out["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([*out.values()], names=[*out])
+            out = batch.column(0).flatten()
+            firsts, lasts = (batch.column(1).field(k).to_pylist() for k in (0, 1))
+            texts = [_slices(bytes(t), a, b) for t, a, b in zip(texts_of(out[text].cast(pa.string())), firsts, lasts)]
+            out[text] = pa.array(texts, pa.string()).cast(out[text].type)
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                out[k] = pa.array([len(t) for t in texts], pa.int64()).cast(out[k].type)
+            yield pa.RecordBatch.from_arrays(out, names=names)
         tidy()
 
     return both.mapInArrow(slice_texts, docs.schema)
