@@ -63,9 +63,9 @@ def test_other_vocabularies(name):
 def test_store_of_words_may_overflow(monkeypatch, library):
     from weftgraph.llm import bpe, tokens
 
-    monkeypatch.setattr(bpe, "KEPT_WORDS", 5)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 800)
     monkeypatch.setattr(bpe, "KEPT_PAIRS", 3)
-    monkeypatch.setattr(tokens, "KEPT_PIECES", 5)
+    monkeypatch.setattr(tokens, "KEPT_BYTES", 700)
     small, lengths = bpe.PrefixBpe(PATH), tokens.TokenLengths(PATH)
     for text in ("one two three four five six seven, eight.", "one two nine", "six two one. one, two"):
         want = ids_of(library, text)
@@ -73,6 +73,40 @@ def test_store_of_words_may_overflow(monkeypatch, library):
         assert lengths([memoryview(text.encode())]) == [len(want)]
 
 
+MARKS = "、。，！？"
+
+
+def test_texts_without_spaces(library):
+    """They are split where it is safe, and what is kept of them is bounded by bytes."""
+    from weftgraph.llm import bpe, tokens
+
+    rng = random.Random(11)
+    found = ["".join(rng.choices("日本語中文字" + MARKS + "ab1é.'、", k=900)) for _ in range(60)] + ["<|endoftext|>" + "日本、" * 200, "Ａ。's" * 100, "x" * 3000]
+    coder_, lengths = bpe.PrefixBpe(PATH), TokenLengths(PATH)
+    for text in found:
+        want = ids_of(library, text)
+        assert np.frombuffer(coder_.encode(text.encode()), "<u4").tolist() == want and lengths([memoryview(text.encode())]) == [len(want)], text
+    assert sum(map(len, coder_.known)) < 2000 and all(len(k) <= tokens.LONG_PIECE for k in lengths.known)
+    assert max(len(p) for p in lengths.pieces(found[0].encode())) < 900
+
+
+def test_a_symbol_outside_the_vocabulary_is_an_error():
+    with pytest.raises(ValueError):
+        coder(PATH).encode_word("a\u2581b")
+
+
+def test_pieces_of_a_sentence_model():
+    import sentencepiece
+
+    path = default_path("piece_bpe_32k.model")
+    lengths, model = TokenLengths(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    assert lengths.boundary == "at_space"
+    rng = random.Random(12)
+    for _ in range(400):
+        text = "".join(rng.choices(["a", "word", " ", " ", "  ", "é", "日本", "\n", "1", ".", "\u3000", "the ", "\u0301", "ﬁ"], k=rng.randint(1, 60)))
+        assert lengths([memoryview(text.encode())]) == [len(model.encode(text))], text
+
+
 def test_batches_by_bytes():
     texts = [memoryview(b"x" * n) for n in (3, 3, 3, 50, 1)]
     assert [[len(x) for x in run] for run in by_bytes(texts, 6)] == [[3, 3], [3], [50], [1]]

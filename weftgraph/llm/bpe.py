@@ -7,9 +7,11 @@ gives, for each prefix, the tokens that are suffixes of it, longest first; the f
 last token of what stands before it is the last token of this prefix. Following the table back from the whole word
 gives the ids, in time linear in the word's length for bounded token lengths, however long the word is.
 
-Words are encoded once for each worker and kept, in two generations of KEPT_WORDS at most: when the younger is full,
-it becomes the older one, whose words move up again when they are met. This bounds memory and drops nothing.
-Null and empty texts give no ids and decode to an empty text; other columns pass through unchanged.
+Words are encoded once for each worker and kept, in two generations of KEPT_BYTES at most: when the younger is full, it
+becomes the older one, whose words move up again when they are met. Words of over LONG_WORD bytes (text without spaces)
+are encoded where they stand and not kept. This bounds memory and drops nothing.
+Null and empty texts give no ids and decode to an empty text; equal texts get equal ids; other columns pass through
+unchanged, those called as a result are replaced.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from pyspark.sql import types as T
 from .common import small_batches, table, texts_of, tidy
 from .tokens import default_path
 
-KEPT_WORDS = 220_000
-KEPT_PAIRS = 200_000
+KEPT_BYTES, LONG_WORD = 24 << 20, 256
+#: Bytes that a kept word takes beside its own and its ids', about.
+_EACH = 170
+KEPT_PAIRS = 100_000
 _END = "\0"  # stands behind the last symbol of a word inside the automaton; byte-level symbols never hold it
 
 
@@ -72,6 +76,7 @@ class PrefixBpe:
         self.fits: dict[int, bool] = {}
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.held = 0  # bytes in the younger generation
 
     def edge(self, token: int, side: int) -> list[tuple[int, int, float]]:
         """The symbols that stand at one edge of a token while it is merged: id, rank at which it comes, at which it goes."""
@@ -123,6 +128,8 @@ class PrefixBpe:
             last[at], size[at], done = token, length, at if end != n else done
         out, at = [], n
         while at > 0:
+            if not size[at]:
+                raise ValueError(f"no token of the vocabulary ends at place {at} of {word[:100]!r}")
             out.append(last[at])
             at -= size[at]
         out.reverse()
@@ -143,6 +150,10 @@ class PrefixBpe:
         """Parts that can be encoded alone: white space is dropped and nothing reaches over it."""
         return (raw if b"<|" in raw else raw.lower()).split()
 
+    def keep(self, word: bytes, ids: bytes) -> None:
+        self.known[word] = ids
+        self.held += len(word) + len(ids) + _EACH
+
     def learn(self, new: set[bytes]) -> None:
         for word in new:
             # A full stop or comma after an ASCII letter is a pre-token of its own at the end of a word.
@@ -150,10 +161,10 @@ class PrefixBpe:
                 parts = (word[:-1], word[-1:])
                 for part in parts:
                     if part not in self.known:
-                        self.known[part] = self.packed(part)
-                self.known[word] = self.known[parts[0]] + self.known[parts[1]]
+                        self.keep(part, self.packed(part))
+                self.keep(word, self.known[parts[0]] + self.known[parts[1]])
             elif word not in self.known:
-                self.known[word] = self.packed(word)
+                self.keep(word, self.packed(word))
 
     def packed(self, word: bytes) -> bytes:
         if word in self.older:
@@ -168,12 +179,17 @@ class PrefixBpe:
         """Ids as little-endian unsigned 32-bit integers."""
         words = self.words(raw)
         new = set(words).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > KEPT_WORDS:
-                self.older, self.known = self.known, {}
-                new = set(words)
+        if not new:
+            return b"".join(map(self.known.__getitem__, words))
+        long = {w: self.packed(w) for w in new if len(w) > LONG_WORD}
+        if self.held > KEPT_BYTES:
+            self.older, self.known, self.held = self.known, {}, 0
+            new = set(words)
+        if not long:
             self.learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+            return b"".join(map(self.known.__getitem__, words))
+        self.learn(new.difference(long))
+        return b"".join(long[w] if w in long else self.known[w] for w in words)
 
     def decode(self, ids: bytes) -> str:
         """The tokens of the ids, special ones too, with a space between; the vocabulary file names no decoder."""

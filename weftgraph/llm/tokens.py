@@ -5,11 +5,16 @@ text costs no more memory than a short one and a piece that comes again is encod
 is safe where no normalisation, special string, pre-token or merge of the tokenizer can reach over it:
 
 * "space": the tokenizer drops white space, so the six ASCII spaces separate what it encodes;
+  a long piece without them is also split after CJK punctuation before an ideograph or an ASCII letter or digit, where
+  one pre-token ends, the next one begins, and nothing composes;
 * "before_space": pre-tokens may start with one space but never hold one further on, so a single space between two
   other characters starts a new piece;
+* "at_space": no piece of the vocabulary reaches over a space, and none but single spaces between ASCII letters and
+  digits are split at, which every part gets back as its first character;
 * "none": nothing is known, and whole texts go to the library.
 
-Null and empty texts have no tokens; repeated rows are counted one by one; other columns pass through unchanged.
+Null and empty texts have no tokens; repeated rows are counted one by one; other columns pass through unchanged, one
+called as the result is replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import functools
 import json
 import os
 import re
+from collections import ChainMap
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,12 +33,18 @@ from pyspark.sql import types as T
 
 from .common import small_batches, table, texts_of
 
-#: Pieces whose lengths a worker keeps, in two generations of this many: when the younger is full it becomes the
-#: older one, whose pieces move up again when they are met. Bounds memory only.
-KEPT_PIECES = 500_000
+#: Bytes of the pieces whose lengths a worker keeps, in two generations of this many: when the younger is full it
+#: becomes the older one, whose pieces move up again when they are met. Longer pieces than LONG_PIECE aren't kept.
+#: Bounds memory only.
+KEPT_BYTES, LONG_PIECE = 40 << 20, 256
+#: Bytes that a kept piece takes beside its own, about.
+_EACH = 130
 #: Bytes of new pieces that go to the library at once.
 BATCH_BYTES = 1 << 20
 _BEFORE_SPACE = re.compile(rb"(?<=[^\s]) (?=[^\s])")
+_AT_SPACE = re.compile(rb"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+#: Behind an ideographic comma or full stop, or the wide comma, exclamation or question mark.
+_AFTER_MARK = re.compile("(?<=[\u3001\u3002\uff0c\uff01\uff1f])(?=[\u4e00-\u9fffA-Za-z0-9])")
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -48,6 +60,7 @@ class TokenLengths:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.known: dict[bytes, int] = {}
         self.older: dict[bytes, int] = {}
+        self.held = 0  # bytes in the younger generation
         self.specials: list[bytes] = []
         self.boundary, self.fold = "none", False
         if path.endswith(".model"):
@@ -55,6 +68,9 @@ class TokenLengths:
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.library = lambda texts: map(len, model.encode(texts, num_threads=1))
+            pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
+            if not any("\u2581" in p.lstrip("\u2581") for p in pieces) and len(model.encode("a b")) == len(model.encode("a")) + len(model.encode("b")):
+                self.boundary = "at_space"
             return
         from tokenizers import Tokenizer
 
@@ -78,10 +94,19 @@ class TokenLengths:
         if self.boundary == "before_space":
             cuts = [0, *(m.start() for m in _BEFORE_SPACE.finditer(raw)), len(raw)]
             return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        if self.boundary == "at_space":
+            return _AT_SPACE.split(raw)
         # Lower-casing must not create a special string.
         if self.fold and not any(x[:2] in raw for x in self.specials):
             raw = raw.lower()
-        return raw.split()
+        out = raw.split()
+        if max(map(len, out), default=0) > LONG_PIECE:
+            out = [p for x in out for p in (self.parts(x) if len(x) > LONG_PIECE else (x,))]
+        return out
+
+    def parts(self, piece: bytes) -> list[bytes]:
+        """Parts of a long piece without spaces; special strings hold no CJK punctuation, so none is cut."""
+        return [p.encode() for p in _AFTER_MARK.split(piece.decode("utf-8", "replace"))]
 
     def learn(self, new: set[bytes]) -> None:
         """Has the library encode pieces not yet known, in batches of about equal bytes."""
@@ -94,13 +119,18 @@ class TokenLengths:
                 parts = (piece[:-1], piece[-1:])
             for part in parts:
                 if part in self.older:
-                    self.known[part] = self.older[part]
+                    self.keep(part, self.older[part])
                 elif part not in self.known:
                     todo[part] = None
         for batch in by_bytes(list(todo)):
-            self.known.update(zip(batch, self.library([x.decode("utf-8", "replace") for x in batch])))
+            for part, n in zip(batch, self.library([x.decode("utf-8", "replace") for x in batch])):
+                self.keep(part, n)
         for piece in tails:
-            self.known[piece] = self.known[piece[:-1]] + self.known[piece[-1:]]
+            self.keep(piece, self.known[piece[:-1]] + self.known[piece[-1:]])
+
+    def keep(self, piece: bytes, n: int) -> None:
+        self.known[piece] = n
+        self.held += len(piece) + _EACH
 
     def __call__(self, texts: list[memoryview]) -> list[int]:
         out = []
@@ -110,11 +140,16 @@ class TokenLengths:
                 lengths = iter(self.library([x[0].decode("utf-8", "replace") for x in split if x]))
                 out += [next(lengths) if x else 0 for x in split]
                 continue
-            words = set().union(*split)
-            if len(self.known) > KEPT_PIECES:
-                self.older, self.known = self.known, {}
-            self.learn(words.difference(self.known))
-            out += [sum(map(self.known.__getitem__, x)) for x in split]
+            if self.held > KEPT_BYTES:
+                self.older, self.known, self.held = self.known, {}, 0
+            words = set().union(*split).difference(self.known)
+            long = [x for x in words if len(x) > LONG_PIECE]
+            self.learn(words.difference(long))
+            lengths = {}
+            for batch in by_bytes(long):
+                lengths.update(zip(batch, self.library([x.decode("utf-8", "replace") for x in batch])))
+            of = ChainMap(lengths, self.known) if long else self.known
+            out += [sum(map(of.__getitem__, x)) for x in split]
         return out
 
 
