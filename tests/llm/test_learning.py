@@ -62,6 +62,16 @@ def test_accuracies_are_estimated():
     assert abs(share - 0.8) < 0.03 and np.abs(good - right).max() < 0.04 and np.abs(bad - right).max() < 0.06
 
 
+def test_verdicts_are_the_posteriors_of_the_model(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    judged = quality.judge_quality(df).cache()
+    rows = judged.select("p_quality", *(v.alias(k) for k, v in quality.rules().items())).collect()
+    patterns = Counter(tuple(r)[1:] for r in rows)
+    posterior = dict(zip(sorted(patterns), quality.estimate(np.array(sorted(patterns)), np.array([patterns[p] for p in sorted(patterns)], float))[0]))
+    assert all(r.p_quality == pytest.approx(posterior[tuple(r)[1:]], abs=1e-6) for r in rows)
+    assert sorted(r.doc_id for r in quality.keep_good(df).collect()) == sorted(r.doc_id for r in judged.filter("kept").collect())
+
+
 def test_labels_agree_with_the_verdict(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -120,6 +130,59 @@ def test_nothing_to_learn(spark):
     assert toxicity.score(docs, None).first().score == 0.0
 
 
+def test_slope_is_that_of_the_risk():
+    """Against differences of the risk as the definition has it, where its clean part is positive and where it isn't."""
+    rng = np.random.RandomState(2)
+    for shift in (-2.0, 3.0):
+        positive = np.arange(30) < 8
+        z = rng.randn(30) + np.where(positive, shift, -shift)
+        both_signs = lambda x: np.log1p(np.exp(-x)), lambda x: np.log1p(np.exp(x))
+
+        def parts(z):
+            as_toxic, as_clean = (f(z) for f in both_signs)
+            return 0.4 * as_toxic[positive].mean(), as_clean[~positive].mean() - 0.4 * as_clean[positive].mean()
+
+        risk = (lambda z: -parts(z)[1]) if parts(z)[1] < 0 else lambda z: sum(parts(z))
+        want = [(risk(z + h) - risk(z - h)) / 2e-6 for h in 1e-6 * np.eye(30)]
+        assert np.allclose(toxicity.risk_slope(z, positive, 0.4), want, atol=1e-7)
+        assert (parts(z)[1] < 0) == (shift > 0)
+
+
+def test_samples_have_the_size_they_are_said_to_have(spark, monkeypatch):
+    assert all(toxicity.share(20_000, n) * n > 20_000 for n in (10**5, 10**9, 10**11, 10**14)) and toxicity.share(5, 0) == toxicity.share(5, 3) == 1
+    seen = []
+    fit = toxicity.fit_nnpu
+    monkeypatch.setattr(toxicity, "fit_nnpu", lambda rows, cols, positive, *a, **b: (seen.append(positive), fit(rows, cols, positive, *a, **b))[1])
+    rows = [(None, f"word w{k % 50} x{k}") for k in range(3000)] + [(None, "same row")] * 3000 + [(1, f"nasty one two v{k}") for k in range(500)] + [(k, f"vile nasty u{k}") for k in range(3, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1)] + [(k, 1) for k in range(3, 60)] + [(k, 0) for k in range(100, 400)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks, positives=20, unlabelled=100)
+    assert [(int(p.sum()), int((~p).sum())) for p in seen] == [(20, 100)]
+    assert model.score(memoryview(b"nasty vile")) > model.score(memoryview(b"word w3"))
+
+
+def test_toxicity_query(spark):
+    import zlib
+
+    got = {r.doc_id: r for r in queries.queries()["op2_toxicity"](spark, SF).collect()}
+    whole = texts(spark)
+    assert got.keys() == whole.keys()
+    model = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    words = {int(w): x for w, x in zip(model.words, model.weights)}
+    for i, text in whole.items():
+        odds = model.bias + sum(words.get(int(h), 0.0) for h in set(toxicity.letter_words(memoryview(text.encode())).tolist()))
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-9) and got[i].predicted == int(got[i].score >= 0.3)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_other_columns_are_carried(spark):
+    rows = [(1, "a nasty text", 0.5, "x", [1]), (2, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic double, row string, words array<int>")
+    model = toxicity.Model(np.array([5], np.uint64), np.array([1.0]), 0.0)
+    out = toxicity.scored(df, model).select("row.*")
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == sorted(rows)
+
+
 # ---- mixing -----------------------------------------------------------------------------------------------
 
 
@@ -162,6 +225,8 @@ def test_mix_comes_near_its_targets(spark):
     want = dict(zip([sizes[n] for n in names], mixing.targets([sizes[n] for n in names])))
     assert {k: round(v, 6) for k, v in target.items()} == {k: round(v, 6) for k, v in want.items()}
     assert all(abs(taken[k] - target[k]) <= 0.02 * target[k] + 2 * mixing.BLOCK_WORDS for k in target)
+    mixed = mixing.mixed_documents(df.withColumnsRenamed({"size": "_first"}).withColumn("taken", mixing.F.lit(1)))
+    assert mixed.columns == ["doc_id", "text", "source", "_first", "taken"]
     mixed = mixing.mixed_documents(df)
     assert mixed.columns == df.columns
     words = Counter()
@@ -171,6 +236,45 @@ def test_mix_comes_near_its_targets(spark):
     assert mixing.taken_words(df.limit(0)).count() == mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("stretch, copies", [(4000, 10_000), (7, 2)])
+def test_mix_as_replayed_by_hand(spark, monkeypatch, stretch, copies):
+    """Blocks, permuted slots and their join, over again in plain Python from the order of the layout."""
+    monkeypatch.setattr(mixing, "STRETCH_ROWS", stretch)
+    monkeypatch.setattr(mixing, "COPIES", copies)
+    rng = random.Random(8)
+    rows = [(k, " ".join(["w"] * rng.choice([0, 2, 9, 40, 700])), rng.choice("abbbb")) for k in range(150)] + [(3, "again and again", "a")] * 5 + [(None, "no id", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r.doc_id, r.size, r.taken) for r in mixing.taken_words(df).collect())
+    laid = [r.asDict() for r in mixing.plan(df).laid.collect()]
+    sources = sorted({r["src"] for r in laid}, key=lambda s: (s == "n", s))
+    words = {s: sum(r["size"] * r["copies"] for r in laid if r["src"] == s) for s in sources}
+    taken = Counter()
+    for k, (src, target) in enumerate(zip(sources, mixing.targets([words[s] for s in sources]))):
+        mine = sorted((r for r in laid if r["src"] == src and r["size"]), key=lambda r: r["at"])
+        line = [(r["doc_id"], r["h"], c) for r in mine for c in range(r["copies"]) for _ in range(r["size"])]
+        assert len(line) == words[src] and [r["at"] for r in mine] == [sum(r["size"] * r["copies"] for r in mine[:n]) for n in range(len(mine))]
+        blocks = [line[f : f + mixing.BLOCK_WORDS] for f in range(0, len(line), mixing.BLOCK_WORDS)]
+        n = len(blocks)
+        for slot in range(min(round(target * n / words[src]), 3 * n) if n else 0):
+            at = mixing.permuted(np.array([slot % n]), np.array([n]), np.array([k * 1_000_003 + slot // n * 7919 + 7]))[0]
+            taken.update(blocks[at])
+    want = Counter((r["doc_id"], r["size"], taken[r["doc_id"], r["h"], c]) for r in laid for c in range(r["copies"]))
+    assert got == want
+
+
+def test_shards_drawn_in_groups(spark):
+    quotas = [5000, 70, 0, 933]
+    got = mixing._shards(spark, quotas, 10, 3).collect()
+    assert len({r.shard for r in got}) == 601
+    for k, quota in enumerate(quotas):
+        runs = sorted((r.first, r.last) for r in got if r.k == k)
+        assert [x for f, z in runs for x in range(f, z + 1)] == list(range(quota))
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.last - r.first + 1
+    assert set(sizes.values()) <= {10, 3}
+
+
 # ---- fingerprints -----------------------------------------------------------------------------------------
 
 
@@ -191,6 +295,37 @@ def test_fingerprints_of_edited_texts(spark):
     assert np.median([r.near_edited for r in got.values()]) > 0.7 > 0.6 > np.median([r.near_next for r in got.values()])
 
 
+def test_fingerprints_as_by_a_plain_simhash():
+    """Signed votes of each term's own 128 bits, one term at a time."""
+    def plain(text):
+        hashes = [simhash.word_hashes(w.encode()) for w in WORD.findall(text)]
+        runs = [hashes[k : k + 3] for k in range(max(1, len(hashes) - 2))] if hashes else []
+        times = Counter(int(simhash.shingle_hashes(np.concatenate(r), len(r))[0]) for r in runs)
+        votes = [0.0] * 128
+        for term, n in times.items():
+            bits = "".join(f"{b:08b}" for j in range(2) for b in int(simhash.mix64(np.array([(term + j * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0]).to_bytes(8, "little"))
+            for k, bit in enumerate(bits):
+                votes[k] += round(256 * (1 + math.log(n))) * (1 if bit == "1" else -1)
+        return int("".join("1" if v > 0 else "0" for v in votes), 2).to_bytes(16, "big")
+
+    rng = random.Random(3)
+    for text in ["", "one", "one two", " a b c a b c a b c", "é ü\nß"] + [" ".join(rng.choices(["a", "b", "ccc", "dé"], k=rng.randint(3, 90))) for _ in range(40)]:
+        assert simhash.fingerprint(text.encode()) == plain(text), text
+
+
+def test_hashes_do_not_depend_on_stretches(monkeypatch):
+    from weftgraph.llm import common
+
+    text = ("short words " * 30 + "x" * 5000 + " é" * 50 + " " + "y" * 64 + " end").encode()
+    whole = common.word_hashes(text)
+    small = {w: int(common.word_hashes(w)[0]) for w in set(text.split())}
+    assert [small[w] for w in text.split()] == whole.tolist() and len(set(small.values())) == len(small)
+    monkeypatch.setattr(common, "STRETCH", 64)
+    again = common.word_hashes(text)
+    assert [int(common.word_hashes(w)[0]) for w in text.split()] == again.tolist()
+    assert all(a == b for a, b, w in zip(whole.tolist(), again.tolist(), text.split()) if len(w) <= 64) and len(set(again.tolist())) == len(small)
+
+
 def test_order_is_the_same_however_it_is_cut(spark, monkeypatch):
     rows = [(k, f"text {k} " * (k % 5)) for k in range(0, 400, 3)] + [(9, "other"), (9, None), (None, "no id"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -51,3 +51,35 @@ def test_odd_documents(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in cp.STAGES:
         assert stage(spark, df, SF).count() <= 4
+
+
+def test_run(spark):
+    """The rows of run() are those of the stages one after another, and their tables but the last are gone."""
+    import os
+
+    from weftgraph.llm import common
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in cp.STAGES:
+        docs = common.cut(stage(spark, docs, SF))
+    out = cp.run(spark, SF)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+    left = [n for n in os.listdir(common.shared_dir(spark).removeprefix("file://")) if "pipeline" in n]
+    assert len(left) == 1 and "bpe" in left[0]
+
+
+def test_a_failed_stage_leaves_nothing(spark, monkeypatch):
+    import os
+
+    import pytest
+
+    from weftgraph.llm import common
+
+    def fails(*_):
+        raise RuntimeError("no")
+
+    before = set(os.listdir(common.shared_dir(spark).removeprefix("file://")))
+    monkeypatch.setattr(cp, "STAGES", [cp.STAGES[4], ("fails", fails)])
+    with pytest.raises(RuntimeError):
+        cp.run(spark, SF)
+    assert {n for n in os.listdir(common.shared_dir(spark).removeprefix("file://")) if "pipeline" in n} <= before

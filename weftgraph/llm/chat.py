@@ -9,7 +9,8 @@ Rendered text is parsed again and the turns are compared with the source. A turn
 doesn't come back identical, its control strings are broken by a backslash; where that doesn't either (the text has
 backslashes of its own that would be read as escapes), its backslashes are doubled as well, which always comes back.
 "</turn>\n" doesn't overlap itself, so nothing that spans two turns can be read as its end: what holds for each turn
-holds for the conversation, and the whole is compared once more all the same.
+holds for the conversation, and the whole is compared once more all the same; one that didn't come back identical would
+be written with all backslashes doubled and compared again, and `identical` tells the outcome.
 
 Null roles and texts count as empty; rows of a conversation go by turn, equal turns by role and text, null turns
 first; repeated rows are repeated turns; rows with a null conversation id form one conversation of their own.
@@ -115,7 +116,8 @@ def format_chats(rows: DataFrame) -> DataFrame:
         return F.coalesce(back == F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))), F.lit(False))
 
     whole = whole.withColumn("formatted", plain).withColumn("identical", same(F.col("formatted")))
-    whole = whole.withColumn("formatted", F.when(F.col("identical"), F.col("formatted")).otherwise(strict))
+    strict_too = whole.withColumn("formatted", F.when(F.col("identical"), F.col("formatted")).otherwise(strict))
+    whole = strict_too.withColumn("identical", F.col("identical") | same(F.col("formatted")))
     return whole.select("conv_id", "formatted", loss_spans(F.col("formatted")).alias("spans"), "identical")
 
 

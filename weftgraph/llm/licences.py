@@ -15,7 +15,9 @@ its words. A file with a passage of its own has that licence; another one inheri
 that holds a licence file, of several there from the first by path. Ancestors are listed for each directory, not for
 each file, and met by joins on paths.
 
-Null texts have no passage; null paths inherit nothing; repeated rows get equal results; other columns pass through.
+Null and empty texts have no passage; null paths inherit nothing; repeated rows get equal results; of equally like
+templates the first one counts; other columns pass through, those called as a result column are replaced, and no other
+name clashes. Without rows there is no result.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, small_batches, span_hashes, table, texts_of, tidy, word_spans
+from .common import cut, join_hot, row_of, small_batches, span_hashes, table, texts_of, tidy, word_spans
 
 #: Notices as they stand in headers and licence files.
 TEMPLATES = {
@@ -235,23 +237,23 @@ def scan(files: DataFrame) -> DataFrame:
     """files (path, text, ...) with own_licence, similarity, is_licence_file, licence and inherited_from in place of text."""
     counted = document_frequencies(files)
     matcher = Matcher(*of_templates(counted))
-    outs = ("own_licence", "similarity", "is_licence_file")
-    rest = [c for c in files.columns if c not in ("text", "licence", "inherited_from", *outs)]
+    outs = ("text", "own_licence", "similarity", "is_licence_file", "licence", "inherited_from")
+    rows = files.select(row_of(files.select(*(F.col(f"`{c}`") for c in files.columns if c not in outs))), F.col("text").cast("string").alias("text"))
     more = T._parse_datatype_string(_FOUND + ", _words int, _key binary, _open binary, _others array<bigint>").fields
-    schema = T.StructType([*(files.schema[c] for c in rest), *more])
+    schema = T.StructType([rows.schema["row"], *more])
     kinds = [to_arrow_type(f.dataType) for f in more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for raw in texts_of(batch.column(len(rest))):
+            for raw in texts_of(batch.column(1)):
                 n, found = matcher.passages(bytes(raw))
                 found = sorted(matcher.undecided(found))
                 others = sorted({t for p in found for t in p[4]})
                 packed = json.dumps(found).encode() if others else None
                 sure = (None, None, None) if others else matcher.decide(found)
                 rows.append((*sure, n, packed and hashlib.blake2b(packed, digest_size=16).digest(), packed, np.array(others, np.uint64).view(np.int64).tolist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=schema.names)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,33 +263,37 @@ def scan(files: DataFrame) -> DataFrame:
                 rows.append(matcher.decide(json.loads(packed), counts))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["_key", "own_licence", "similarity", "_size"])
 
-    own = cut(files.select(*rest, F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "passages")
+    own = cut(rows.mapInArrow(run, schema), "passages")
     # Files with one text, or with like passages, share a key: each is settled once.
     open_ = own.filter("_key IS NOT NULL").groupBy("_key").agg(F.first("_open").alias("_open"), F.first("_others").alias("_others"))
     asked = open_.select("_key", F.explode("_others").alias("k"))
     wanted = counted.join(asked.select("k").distinct(), "k", "left_semi")
     known = asked.join(wanted, "k").groupBy("_key").agg(F.collect_list(F.struct("k", "n")).alias("_known"))
     settled = cut(open_.select("_key", "_open").join(known, "_key").mapInArrow(settle, "_key binary, " + _FOUND), "settled")
-    sure = own.filter("_key IS NULL").select(*rest, "own_licence", "similarity", "_size", "_words")
-    later = own.filter("_key IS NOT NULL").select(*rest, "_words", "_key").join(settled, "_key").select(*sure.columns)
+    sure = own.filter("_key IS NULL").select("row", "own_licence", "similarity", "_size", "_words")
+    later = own.filter("_key IS NOT NULL").select("row", "_words", "_key").join(settled, "_key").select(*sure.columns)
+    both = sure.unionByName(later).withColumn("path", F.col("row.path").cast("string"))
     named = F.regexp_replace(F.coalesce("path", F.lit("")), "^(?s:.*)/", "").rlike(FILE_NAME.pattern)
     kind = F.col("own_licence").isNotNull() & (named | (F.col("_size") >= FILE_SHARE * F.col("_words")))
-    return inherit(sure.unionByName(later).withColumn("is_licence_file", kind).select(*rest, *outs))
+    out = inherit(both.select("row", "path", "own_licence", "similarity", kind.alias("is_licence_file")))
+    return out.select("row.*", "own_licence", "similarity", "is_licence_file", "licence", "inherited_from")
 
 
 def inherit(scanned: DataFrame) -> DataFrame:
     """scanned (path, own_licence, is_licence_file, ...) with licence and inherited_from (a directory, null if its own)."""
-    folder = F.regexp_replace("path", "/[^/]*$", "")
-    scanned = scanned.withColumn("_dir", folder)
-    holders = scanned.filter("is_licence_file AND path IS NOT NULL").groupBy("_dir").agg(F.min_by("own_licence", "path").alias("_theirs"))
-    parts = F.split("_dir", "/")
+    rows = scanned.select(row_of(scanned), F.regexp_replace("path", "/[^/]*$", "").alias("folder"))
+    holders = scanned.filter("is_licence_file AND path IS NOT NULL").groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("up")).agg(F.min_by("own_licence", "path").alias("theirs"))
+    parts = F.split("folder", "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    dirs = scanned.filter("_dir IS NOT NULL").select("_dir").distinct().select("_dir", F.posexplode(up).alias("_depth", "_up"))
-    above = dirs.join(holders.select(F.col("_dir").alias("_up"), "_theirs"), "_up")
-    nearest = above.groupBy("_dir").agg(F.max(F.struct("_depth", "_up", "_theirs")).alias("_from"))
-    out = scanned.join(nearest, "_dir", "left")
-    out = out.withColumn("licence", F.coalesce("own_licence", "_from._theirs")).withColumn("inherited_from", F.when(F.col("own_licence").isNull(), F.col("_from._up")))
-    return out.drop("_dir", "_from")
+    folders = cut(rows.filter("folder IS NOT NULL").groupBy("folder").agg(F.count("*").alias("times")), "folders")
+    above = folders.select("folder", F.posexplode(up).alias("depth", "up"))
+    # A directory near the root is above very many others, and one directory may hold very many files.
+    held = holders.join(above.groupBy("up").agg(F.count("*").alias("met")), "up")
+    met = join_hot(above, cut(held, "held"), "up", "met").filter("theirs IS NOT NULL")
+    nearest = met.groupBy("folder").agg(F.max(F.struct("depth", "up", "theirs")).alias("source")).join(folders, "folder")
+    out = join_hot(rows, cut(nearest, "nearest"), "folder", "times")
+    own = F.col("row.own_licence")
+    return out.select("row.*", F.coalesce(own, F.col("source.theirs")).alias("licence"), F.when(own.isNull(), F.col("source.up")).alias("inherited_from"))
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

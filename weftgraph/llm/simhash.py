@@ -1,8 +1,8 @@
 """Document fingerprints: SimHash, and a search that finds all fingerprints within a Hamming radius.
 
 A text's terms are its runs of TERM_WORDS words (with fewer words, the whole sequence). Each distinct term is hashed to
-BITS bits; every bit votes plus or minus the term's weight, 1 + ln(times in the text); a fingerprint bit is set where
-the votes are positive. Equal texts have equal fingerprints; texts without words have the fingerprint of all zeros.
+BITS bits; every bit votes plus or minus the term's weight, 1 + ln(times in the text) in 256ths, so that sums are exact
+on every machine; a fingerprint bit is set where the votes are positive. Equal texts have equal fingerprints; texts without words have the fingerprint of all zeros.
 Likeness of two fingerprints is the share of equal bits.
 
 within_radius() cuts fingerprints into blocks. Two that differ in `radius` bits at most agree in at least
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, mix64, shingle_hashes, small_batches, table, word_hashes
+from .common import cut, join_hot, mix64, shingle_hashes, small_batches, table, word_hashes
 
 BITS, TERM_WORDS = 128, 3
 #: Bytes of text in one stretch of the order of ids, and most stretches.
@@ -48,9 +48,9 @@ def fingerprint(raw: bytes, width: int = TERM_WORDS) -> bytes:
         part = terms[k : k + _ROWS]
         wide = np.stack([mix64(part + np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64))) for j in range(BITS // 64)], axis=1)
         bits = np.unpackbits(wide.view(np.uint8), axis=1).astype(np.float32)
-        weight = (1 + np.log(times[k : k + _ROWS])).astype(np.float32)
-        votes += 2 * (weight @ bits) - weight.sum()
-    return np.packbits(votes > 1e-6).tobytes()
+        weight = np.minimum(np.rint(256 * (1 + np.log(times[k : k + _ROWS]))), 4095).astype(np.float32)  # sums stay under 2 ** 24
+        votes += 2.0 * (weight @ bits) - float(weight.sum(dtype=np.float64))
+    return np.packbits(votes > 0).tobytes()
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -269,7 +269,7 @@ def _search(classes: DataFrame, radius: int, blocks: int, counted: bool, most: i
 
 
 def _classes(prints: DataFrame) -> DataFrame:
-    return prints.filter("doc_id IS NOT NULL AND fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
+    return prints.filter("doc_id IS NOT NULL AND fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("times"))
 
 
 def within_radius(prints: DataFrame, radius: int, blocks: int | None = None, most: int = BUCKET) -> tuple[DataFrame, DataFrame]:
@@ -280,7 +280,7 @@ def within_radius(prints: DataFrame, radius: int, blocks: int | None = None, mos
     """
     classes = _classes(prints)
     links = _search(classes, radius, blocks or radius + 1, False, most).withColumn("distance", F.col("distance").cast("int"))
-    return prints.filter("doc_id IS NOT NULL").join(classes, "fingerprint").select("doc_id", "class_id"), links
+    return join_hot(prints.filter("doc_id IS NOT NULL AND fingerprint IS NOT NULL"), classes, "fingerprint", "times").select("doc_id", "class_id"), links
 
 
 def with_links(docs: DataFrame, radius: int, blocks: int | None = None, most: int = BUCKET) -> DataFrame:
@@ -291,8 +291,8 @@ def with_links(docs: DataFrame, radius: int, blocks: int | None = None, most: in
     docs = cut(docs, "fingerprints")
     classes = cut(_classes(docs), "classes")
     linked = _search(classes, radius, blocks or radius + 1, True, most).groupBy("class_id").agg(F.sum("n").alias("n_links"))
-    known = classes.join(linked, "class_id", "left").select("fingerprint", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = docs.join(known, "fingerprint", "left")
+    known = classes.join(linked, "class_id", "left").select("fingerprint", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "times")
+    out = join_hot(docs, cut(known, "known"), "fingerprint", "times")
     owned = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
     return out.select(*docs.columns, owned("class_id"), owned("n_links"))
 
