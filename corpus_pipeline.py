@@ -6,8 +6,6 @@ return the columns of documents. Rejected documents are gone for all later stage
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +19,7 @@ ORACLE_SQL = None
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity classifier rejects."""
     model = toxicity.train(docs.select("doc_id", "text"), common.table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    scored = toxicity.score(docs, model, out="_toxicity")
-    return scored.filter(F.col("_toxicity") < toxicity.REJECT_AT).select(*docs.columns)
+    return toxicity.scored(docs, model).filter(F.col("score") < toxicity.REJECT_AT).select("row.*")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +53,22 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written as Parquet in the shared folder and read again."""
-    docs = common.table(spark, sf_dir, "documents")
-    folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages over documents; what each returns is written as Parquet in the shared folder and read again.
+
+    A stage's table is deleted once the next one is written, or when a stage fails; the last one at the driver's end.
+    """
+    docs, written = common.table(spark, sf_dir, "documents"), []
+    try:
+        for name, stage in STAGES:
+            path = common.owned(spark, f"pipeline-{name}")
+            written.append(path)
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            for earlier in written[:-1]:
+                common.delete(spark, earlier)
+            written = written[-1:]
+    except BaseException:
+        for path in written:
+            common.delete(spark, path)
+        raise
     return docs
