@@ -1,5 +1,6 @@
 """The Spark engine against the plain one, on graphs and queries drawn at random, and on cases written out."""
 
+import os
 import random
 
 import pytest
@@ -50,7 +51,7 @@ def outcome(make):
         return "error"
 
 
-@pytest.mark.parametrize("seed", range(24))
+@pytest.mark.parametrize("seed", range(200) if os.environ.get("WEFT_CASES") else range(40))
 def test_as_the_plain_engine(spark, seed):
     rng = random.Random(seed)
     graph = drawn_graph(rng)
@@ -107,3 +108,38 @@ def test_sets_and_references(spark):
     assert canonical(query(graph, "subgraph node.ref = b")) == "set s [w=2]"
     assert query(graph, "").nodes.filter("parent = 'a'").count() == 1
     assert NodeRef("b") != 5
+
+
+DEEP = """
+A: a->b
+B: b->c [parent=A]
+C: c->d [parent=B]
+D: d->e [parent=C]
+E: e->f [parent=D]
+e->g [parent=E]
+X: a->x [parent=Y]
+Y: x->y [parent=Z]
+Z: y->z [parent=X]
+W: z->w [parent=X]
+w->v [parent=W]
+P: p->q [parent=Q] { p->r }
+Q: q->p [parent=D]
+"""
+
+
+@pytest.mark.parametrize("depth", range(8))
+def test_depths_of_chains_cycles_and_labels_used_twice(spark, depth):
+    twice = parse(DEEP)
+    twice.edges += [EdgeRow("a", "b", "A", "E"), EdgeRow("a", "b", "P", "P"), EdgeRow("a", "c", "", "unknown"), EdgeRow("c", "a", "Q", "P")]
+    for graph in (parse(DEEP), twice):
+        want = plain_engine.run(plain_engine.Graph(graph), q.parse(f"subgraph edge.depth = {depth}")).d
+        assert outcome(lambda: query(graph.graph(spark), f"subgraph edge.depth = {depth}")) == canonical(want, keep_parents=True)
+
+
+def test_levels_of_a_long_chain(spark):
+    from weftgraph.operators import patterns
+
+    names = [f"n{k}" for k in range(40)]
+    text = "\n".join(f"{a}->{b}" for a, b in zip(names, names[1:])) + "\nn0->n39\nx->y y->x\nx->n5x\nnode alone"
+    got = {r.id: r.level for r in patterns.topological_levels(parse(text.replace(" y->x", "\ny->x")).graph(spark)).collect()}
+    assert got == {**{n: k for k, n in enumerate(names)}, "alone": 0}

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from weftgraph.plans import registry
+from weftgraph.plans import registry, text_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -18,7 +18,10 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", ["subgraph_node_and", "subgraph_untargeted_edges", "traverse_in_out_1", "edge_depth_eq", "edge_depends_on", "traverse_up_1", "traverse_down_1", "collapse_segment", "union_edges", "difference_edges", "pipeline_3stage", "simple_paths"])
+NAMES = ["subgraph_node_and", "subgraph_untargeted_edges", "type_sensitive_eq", "traverse_in_out_1", "traverse_cycle", "edge_depth_eq", "edge_depends_on", "traverse_up_1", "traverse_up_all", "traverse_down_1", "traverse_out_up", "scope_all", "collapse_segment", "collapse_nodes", "union_edges", "difference_edges", "pipeline_3stage", "simple_paths", "topo_levels", "neighbours", "adjacency", "has_cycle", "text_lines", *text_queries.oracle_sql()]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_same_rows(spark, sql, name):
     got = registry.queries()[name](spark, SF)
     want = sql.sql(registry.oracle_sql()[name])

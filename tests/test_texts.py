@@ -43,6 +43,11 @@ def test_cycles_and_lost_parents():
     assert canonical(parse("node a [parent=b]\nnode b [parent=a]")) == "node a [parent=b]\nnode b [parent=a]"
 
 
+def test_order_of_nodes():
+    """Both ends of an edge have its place; ids decide between equal places."""
+    assert canonical(parse("node z\nb->a\nc->a\nnode y")) == "node a\nnode b\nnode c\nnode y\nnode z\n\nb->a\nc->a"
+
+
 def test_numbers():
     assert [number(x) for x in (5.0, 0.5, 1e21, 1e-7, 123456789.25)] == ["5", "0.5", "1000000000000000000000", "0.0000001", "123456789.25"]
 

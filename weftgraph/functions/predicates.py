@@ -25,7 +25,7 @@ def column_of(pred: object, kind: str, attributes: Attributes, depth: Column | N
     """
     fits = pred.target in ("", kind)
     if isinstance(pred, q.Always):
-        return F.lit(pred.value)
+        return F.lit(pred.value and fits)
     if isinstance(pred, q.Not):
         return ~column_of(pred.inner, kind, attributes, depth)
     if isinstance(pred, q.And):

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..model import PREFIX, PGraph, merged, no_attrs, no_sets
 
 
@@ -23,7 +24,8 @@ def _alike(left: PGraph, right: PGraph) -> tuple[PGraph, PGraph]:
 
 
 def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    ids, names = nodes.select("id"), edges.columns
+    """edges between nodes, whose ids are met twice and so written once."""
+    ids, names = cut(nodes.select("id")), edges.columns
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*names)
 
 

@@ -33,22 +33,32 @@ def adjacency(graph: PGraph) -> DataFrame:
 def topological_levels(graph: PGraph) -> DataFrame:
     """id, level: the longest way to a node from one that no edge leads to. Nodes in or behind cycles have none.
 
-    Levels are peeled: each round takes the nodes without an edge from a node that is still there.
+    Levels are peeled: a node is free once as many edges into it are gone as there are. A round writes the nodes that it
+    touches and no more; the edges are written anew when half of them are gone.
     """
-    ids = cut(graph.nodes.select("id"))
     edges = cut(graph.edges.select("src", "dst").distinct())
-    out, level = [], 0
-    while True:
-        free = cut(ids.join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
-        if free.isEmpty():
-            break
-        out.append(free.withColumn("level", F.lit(level)))
-        ids = cut(ids.join(free, "id", "left_anti"))
-        edges = cut(edges.join(free.withColumnRenamed("id", "src"), "src", "left_anti"))
+    into = cut(edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")))
+    free = cut(graph.nodes.select("id").join(into, "id", "left_anti"))
+    levels, waiting, gone, level = [free.withColumn("level", F.lit(0))], None, [], 0
+    left = written = edges.count()
+    while not free.isEmpty() and left:
         level += 1
-    if not out:
-        return ids.limit(0).withColumn("level", F.lit(0))
-    return reduce(DataFrame.unionByName, out)
+        met = edges.join(free.withColumnRenamed("id", "src"), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("met"))
+        got = met if waiting is None else met.join(waiting.withColumnRenamed("got", "before"), "id", "left").select("id", "met", "before")
+        before = F.lit(0) if waiting is None else F.coalesce("before", F.lit(0))
+        touched = cut(got.join(into, "id").select("id", "met", (F.col("met") + before).alias("got"), "n"))
+        left -= touched.agg(F.coalesce(F.sum("met"), F.lit(0)).alias("n")).first()["n"]
+        gone.append(free)
+        free = touched.filter("got = n").select("id")
+        partly = touched.filter("got < n").select("id", "got")
+        waiting = partly if waiting is None else cut(waiting.join(touched.select("id"), "id", "left_anti").unionByName(partly))
+        levels.append(free.withColumn("level", F.lit(level)))
+        if 2 * left < written:
+            edges = cut(edges.join(reduce(DataFrame.unionByName, gone).withColumnRenamed("id", "src"), "src", "left_anti"))
+            gone, written = [], left
+        if len(levels) >= 12:
+            levels = [cut(reduce(DataFrame.unionByName, levels))]
+    return reduce(DataFrame.unionByName, levels)
 
 
 def topological_order(graph: PGraph) -> list[str]:
@@ -63,13 +73,13 @@ def has_cycle(graph: PGraph) -> bool:
     return not graph.nodes.select("id").join(topological_levels(graph), "id", "left_anti").isEmpty()
 
 
-def simple_paths(graph: PGraph, start: str, end: str, most: int = 1_000) -> DataFrame:
-    """path (array of ids): every way from start to end that meets no node twice, of `most` edges at most."""
+def simple_paths(graph: PGraph, start: str, end: str, most: int | None = None) -> DataFrame:
+    """path (array of ids): every way from start to end that meets no node twice; with `most`, of so many edges at most."""
     steps = cut(graph.edges.select(F.col("src").alias("_at"), F.col("dst").alias("_next")).distinct())
     now = graph.spark.range(1).select(F.lit(start).alias("_at"), F.array(F.lit(start)).alias("path"))
     done = [now.filter(F.col("_at") == end).select("path")]
     now = now.filter(F.col("_at") != end)
-    for _ in range(most):
+    while most is None or len(done) <= most:
         now = cut(now.join(steps, "_at").filter(~F.array_contains("path", F.col("_next"))).select(F.col("_next").alias("_at"), F.concat("path", F.array("_next")).alias("path")))
         if now.isEmpty():
             break

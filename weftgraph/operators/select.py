@@ -25,7 +25,7 @@ def matching_edges(graph: PGraph, pred: object) -> DataFrame:
     # The first edge with a label stands for it; the predicate is evaluated on those, and met by a join on labels.
     first = edges.filter("label <> ''").groupBy("label").agg(F.min_by(F.struct(*edges.columns), "ord").alias("_e")).select("_e.*")
     good = first.filter(column_of(pred.inner, "edge", attributes, depth)).select(F.col("label").alias("parent"))
-    return graph.edges.join(good, "parent", "left_semi").select(*graph.edges.columns)
+    return graph.edges.filter("parent <> ''").join(good, "parent", "left_semi").select(*graph.edges.columns)
 
 
 def subgraph(graph: PGraph, stage: q.Subgraph) -> PGraph:

@@ -69,14 +69,31 @@ def labels(edges: DataFrame, last: bool, *names: str) -> DataFrame:
     return chosen.select("label", *(F.col(f"_e.{n}").alias(f"_{n}") for n in names))
 
 
-def with_depth(edges: DataFrame) -> DataFrame:
-    """edges with _depth: how many parents stand above each one.
+def _chains(above: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Of labels (at, _parent: the label above): at, _depth of those whose chain upwards ends, and at of those that
+    reach a cycle, None if none does. Pointers are doubled, so rounds number the logarithm of the longest chain.
 
-    Depth depends on an edge's own label and its parent's label alone, so chains are walked once for each such pair.
-    A label without an edge ends a chain one above; so does one met before, which stops cycles.
+    A round that ends no chain is the last: a chain of any length has the chains of all lesser lengths above it.
     """
-    above = cut(labels(edges, True, "parent").withColumnRenamed("label", "at"))
-    walks = edges.filter("parent <> ''").select("label", "parent").distinct()
+    state = cut(above.select("at", F.when(F.col("_parent") != "", F.col("_parent")).alias("to"), F.lit(1).alias("_depth")))
+    ended, now = [state.filter("to IS NULL").select("at", "_depth")], state
+    while True:
+        now = now.filter("to IS NOT NULL")
+        if now.isEmpty():
+            return reduce(DataFrame.unionByName, ended), None
+        known = now.unionByName(reduce(DataFrame.unionByName, ended).withColumn("to", F.lit(None).cast("string")))
+        further = known.select(F.col("at").alias("to"), F.col("to").alias("_to"), F.col("_depth").alias("_more"))
+        # A label that no edge has ends a chain one above.
+        moved = now.join(further, "to", "left").select("at", F.col("_to").alias("to"), (F.col("_depth") + F.coalesce("_more", F.lit(1))).alias("_depth"))
+        now = cut(moved)
+        over = now.filter("to IS NULL").select("at", "_depth")
+        if over.isEmpty():
+            return reduce(DataFrame.unionByName, ended), now.select("at")
+        ended = _together([*ended, over])
+
+
+def _walked(walks: DataFrame, above: DataFrame) -> DataFrame:
+    """label, parent, _depth of walks (label, parent), each walked with the labels it has met, which stops cycles."""
     now = walks.select("label", "parent", F.col("parent").alias("at"), F.lit(0).alias("depth"), F.when(F.col("label") != "", F.array("label")).otherwise(F.array().cast("array<string>")).alias("met"))
     ended = []
     while True:
@@ -89,10 +106,32 @@ def with_depth(edges: DataFrame) -> DataFrame:
         ended.append(moved.filter("over").select("label", "parent", F.col("depth").alias("_depth")))
         now = moved.filter("NOT over").drop("over")
         if now.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, ended)
         ended = _together(ended)
-    depths = reduce(DataFrame.unionByName, ended)
-    return edges.join(depths, ["label", "parent"], "left").withColumn("_depth", F.coalesce("_depth", F.lit(0)))
+
+
+def with_depth(edges: DataFrame) -> DataFrame:
+    """edges with _depth: how many parents stand above each one; edges without a parent are met by no join.
+
+    A label stands for its last edge. A chain ends above a label without an edge or a parent, and at a label that it has
+    met, the edge's own included. Chains that meet none twice depend on the parent's label alone; only those into a
+    cycle, and those of edges that their label doesn't stand for, are walked one by one.
+    """
+    names = edges.columns
+    above = cut(labels(edges, True, "parent").withColumnRenamed("label", "at"))
+    depths, circling = _chains(above)
+    with_parent = edges.filter("parent <> ''")
+    own = above.select(F.col("at").alias("label"), F.col("_parent").alias("_own"))
+    odd = with_parent.filter("label <> ''").select("label", "parent").distinct().join(own, "label").filter("parent <> _own").select("label", "parent")
+    if circling is not None:
+        into = with_parent.select("label", "parent").distinct().join(circling.withColumnRenamed("at", "parent"), "parent", "left_semi")
+        odd = odd.unionByName(into.select("label", "parent")).distinct()
+    odd = cut(odd)
+    found = with_parent.join(depths.select(F.col("at").alias("parent"), "_depth"), "parent", "left").select(*names, F.coalesce("_depth", F.lit(1)).alias("_depth"))
+    if not odd.isEmpty():
+        walked = _walked(odd, above).withColumnRenamed("_depth", "_walked")
+        found = found.join(walked, ["label", "parent"], "left").select(*names, F.coalesce("_walked", "_depth").alias("_depth"))
+    return found.unionByName(edges.filter("parent = ''").select(*names, F.lit(0).alias("_depth")))
 
 
 def _incident_closure(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,14 +142,20 @@ def _incident_closure(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, Data
     which on an id is there (-1 from the start), an edge at place o carries o over to its other end where t < o; the
     least such t for every id is a fixpoint, found by relaxing all edges at once.
     """
-    pairs = cut(edges.select("ord", F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(edges.select("ord", F.col("dst").alias("u"), F.col("src").alias("v"))))
-    times = cut(ids.select("id", F.lit(-(2**63)).cast("long").alias("t")))
+    pairs = edges.select("ord", F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(edges.select("ord", F.col("dst").alias("u"), F.col("src").alias("v")))
+    least = lambda parts: parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.min("t").alias("t"))
+    fresh = cut(ids.select("id", F.lit(-(2**63)).cast("long").alias("t")))
+    found = [fresh]
     while True:
-        sent = pairs.join(times.select(F.col("id").alias("u"), "t"), "u").filter(F.col("t") < F.col("ord")).groupBy(F.col("v").alias("id")).agg(F.min("ord").alias("new"))
-        better = cut(sent.join(times, "id", "left").filter(F.col("t").isNull() | (F.col("new") < F.col("t"))).select("id", F.col("new").alias("t")))
-        if better.isEmpty():
+        # Only ids whose t has fallen have anything new to send, and only what falls is written.
+        sent = pairs.join(fresh.withColumnRenamed("id", "u"), "u").filter(F.col("t") < F.col("ord")).groupBy(F.col("v").alias("id")).agg(F.min("ord").alias("new"))
+        fresh = cut(sent.join(least(found), "id", "left").filter(F.col("t").isNull() | (F.col("new") < F.col("t"))).select("id", F.col("new").alias("t")))
+        if fresh.isEmpty():
             break
-        times = cut(times.join(better, "id", "left_anti").unionByName(better))
+        found.append(fresh)
+        if len(found) >= _COMPACT_EVERY:
+            found = [cut(least(found))]
+    times = cut(least(found))
     at = lambda end: times.select(F.col("id").alias(end), F.col("t").alias(f"_{end}"))
     met = edges.join(at("src"), "src", "left").join(at("dst"), "dst", "left").filter(F.least("_src", "_dst") < F.col("ord")).drop("_src", "_dst")
     return times.select("id"), met

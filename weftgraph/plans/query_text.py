@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 UNBOUNDED = 999_999
 DIRECTIONS = ("in", "out", "both", "up", "down")
+#: The tokens of the language.
 _TOKENS = re.compile(r'(?P<comment>#[^\n]*)|(?P<string>"[^"]*")|(?P<number>[-+]?(?:\d+\.?\d*|\.\d+))|(?P<op>==|!=|=|\||\(|\)|\.|@|[+&\-^*])|(?P<id>[A-Za-z_][A-Za-z0-9_]*)|(?P<space>\s+)')
 _GRAPH_NAME = re.compile(r"[A-Z][A-Z0-9_]*")
 
@@ -31,6 +32,10 @@ class Always:
     target: str = ""
 
 
+#: All nodes, and all edges, for callers that build stages by hand; the language only has `exists`, on either.
+ALL_NODES, ALL_EDGES = Always(target="node"), Always(target="edge")
+
+
 @dataclass(frozen=True)
 class Compare:
     target: str

@@ -16,6 +16,7 @@ class Context:
     input: PGraph
     named: dict[str, PGraph] = field(default_factory=dict)
     settled: set[str] = field(default_factory=set)
+    slim: dict[str, PGraph] = field(default_factory=dict)
 
 
 def fused(stages: tuple) -> tuple:
@@ -63,13 +64,22 @@ def execute(context: Context, stages: tuple) -> PGraph:
         return context.named[name]
 
     def settled(name: str) -> PGraph:
-        """A bound graph, written once: matching two graphs reads each several times, and unwritten plans would multiply."""
+        """A bound graph, written once: where it is read several times, unwritten plans would multiply."""
         graph = named(name)
         if name != "*" and name not in context.settled:
             graph = context.named[name] = graph.with_(nodes=cut(graph.nodes), edges=cut(graph.edges))
             context.settled.add(name)
         return graph
 
+    def slim(name: str) -> PGraph:
+        """What the right side of & and - is asked for: ids and ends of edges, written once if the graph is a bound one."""
+        graph = named(name)
+        if name == "*" or name in context.settled:
+            return graph
+        if name not in context.slim:
+            context.slim[name] = graph.with_(nodes=cut(graph.nodes.select("id")), edges=cut(graph.edges.select("src", "dst")), node_columns={}, edge_columns={})
+        return context.slim[name]
+
     for stage in fused(stages):
         if isinstance(stage, q.Bind):
             if stage.name in context.named:
@@ -78,8 +88,8 @@ def execute(context: Context, stages: tuple) -> PGraph:
         elif isinstance(stage, q.From):
             now = named(stage.name)
         elif isinstance(stage, q.Algebra):
-            of = named if stage.op == "+" else settled
-            now = algebra.OPERATORS[stage.op](of(stage.left), of(stage.right))
+            left, right = {"+": (named, named), "&": (named, slim), "-": (named, slim), "^": (settled, settled)}[stage.op]
+            now = algebra.OPERATORS[stage.op](left(stage.left), right(stage.right))
         elif isinstance(stage, q.Subgraph):
             now = select.subgraph(now, stage)
         elif isinstance(stage, q.Make):

@@ -28,14 +28,24 @@ def _place(level: int, value: Column) -> Column:
     return (F.lit(level << 58) + value).cast("long")
 
 
+def _item_place(items: DataFrame) -> Column:
+    """Places by order, line number, and the other columns; equal rows share an order and a line number, which aren't a
+    key, and get places of their own too. 38, 8 and 12 bits; what doesn't fit is an error."""
+    rest = [c for c in items.columns if c not in ("l_orderkey", "l_linenumber")]
+    rank = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*rest))
+    fits = F.col("l_orderkey").between(0, (1 << 38) - 1) & F.col("l_linenumber").between(0, 255) & (rank < 4096)
+    place = _place(3, F.shiftleft("l_orderkey", 20) + F.shiftleft(F.col("l_linenumber").cast("long"), 12) + rank)
+    return F.when(fits, place).otherwise(F.raise_error(F.lit("a line item's place doesn't fit")).cast("long"))
+
+
 def _nodes(df: DataFrame, prefix: str, key: str, kind: str, sets: Column | None = None, **attrs: str) -> DataFrame:
     found = {"kind": F.lit(kind), **{k: F.col(c) for k, c in attrs.items()}}
     filled = (found.get(n, F.lit(None)).cast("double" if t == "n" else "string").alias(n) for n, t in NODE_ATTRS.items())
     return df.select(_id(prefix, key).alias("id"), (F.array() if sets is None else sets).cast("array<string>").alias("sets"), *filled)
 
 
-def containment(spark: SparkSession, sf_dir: str, items: bool = True) -> PGraph:
-    """region -> nation -> customer -> order (-> part by line item): each edge depends on the one above it."""
+def containment(spark: SparkSession, sf_dir: str) -> PGraph:
+    """region -> nation -> customer -> order -> part by line item: each edge depends on the one above it."""
     region, nation, customer, orders = (_read(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
     only = lambda condition, name: F.when(condition, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
     nodes = [
@@ -58,13 +68,10 @@ def containment(spark: SparkSession, sf_dir: str, items: bool = True) -> PGraph:
         edges(customer, _place(1, F.col("c_custkey")), _id("n_", "c_nationkey"), _id("c_", "c_custkey"), "nation", _id("C_", "c_custkey"), _id("N_", "c_nationkey")),
         edges(orders, _place(2, F.col("o_orderkey")), _id("c_", "o_custkey"), _id("o_", "o_orderkey"), "customer", _id("O_", "o_orderkey"), _id("C_", "o_custkey")),
     ]
-    if items:
-        part, lineitem = _read(spark, sf_dir, "part"), _read(spark, sf_dir, "lineitem")
-        nodes.append(_nodes(part, "p_", "p_partkey", "part", name="p_name", brand="p_brand", type="p_type", size="p_size"))
-        # Line items have no key: rows that are alike in all columns share a place, as nothing tells them apart.
-        place = _place(3, F.shiftrightunsigned(F.xxhash64(*lineitem.columns), 6))
-        returned = only(F.col("l_returnflag") == "R", "returned")
-        links.append(edges(lineitem, place, _id("o_", "l_orderkey"), _id("p_", "l_partkey"), "order", F.lit(""), _id("O_", "l_orderkey"), F.col("l_returnflag"), F.col("l_quantity"), returned))
+    part, lineitem = _read(spark, sf_dir, "part"), _read(spark, sf_dir, "lineitem")
+    nodes.append(_nodes(part, "p_", "p_partkey", "part", name="p_name", brand="p_brand", type="p_type", size="p_size"))
+    returned = only(F.col("l_returnflag") == "R", "returned")
+    links.append(edges(lineitem, _item_place(lineitem), _id("o_", "l_orderkey"), _id("p_", "l_partkey"), "order", F.lit(""), _id("O_", "l_orderkey"), F.col("l_returnflag"), F.col("l_quantity"), returned))
     return from_tables(reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, links), NODE_ATTRS, EDGE_ATTRS, ["building", "urgent", "returned"])
 
 

@@ -6,7 +6,7 @@
     # comment
 
 Text is read on the driver, as one file is one graph and its statements depend on those before. Many files are read
-by Spark, one graph per file (read_files).
+by Spark, one graph per file (read_files), or as the statements of one graph (read_graph).
 """
 
 from __future__ import annotations
@@ -15,13 +15,16 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from ..functions.lineage import cut
 from ..functions.workers import ship
-from ..model import EDGES, EMPTY, GROUPS, NODES, NodeRef, PGraph, pack
+from ..model import EDGES, EMPTY, GROUPS, NODES, NodeRef, PGraph, merged, no_attrs, pack
 
+#: The tokens of the language.
 _TOKENS = re.compile(r'(?P<space>[ \t\r\n]+)|(?P<comment>#[^\n]*)|(?P<string>"(?:[^"\\]|\\.)*")|(?P<number>[0-9]+(?:\.[0-9]*)?)|(?P<id>[A-Za-z_][A-Za-z0-9_]*)|(?P<arrow>->)|(?P<mark>[\[\]{},:=@])', re.DOTALL)
 _RESERVED = {"node", "set", "true", "false"}
 _ESCAPES = {'"': '"', "\\": "\\", "n": "\n", "t": "\t"}
@@ -227,9 +230,12 @@ class _Parser:
 
     # -- statements
 
-    def read(self) -> Definition:
+    def read(self, whole: bool = True) -> Definition:
+        """whole: labels that edges depend on must be there."""
         while self.peek()[0] != "end":
             self.statement(False)
+        if not whole:
+            return self.out
         known = {e.label for e in self.out.edges if e.label}
         for e in self.out.edges:
             if e.parent and e.parent not in known:
@@ -347,15 +353,17 @@ def read_file(spark: SparkSession, path: str) -> PGraph:
 FILE_ROWS = T.StructType([T.StructField("path", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("error", T.StringType()), *(T.StructField(k, s) for k, s in (("node", NODES), ("edge", EDGES), ("group", GROUPS)))])
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Many files at once: path, kind (node, edge, set or error), and the row of that kind; each file is its own graph."""
+def read_files(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """Many files at once: path, kind (node, edge, set or error), and the row of that kind; each file is its own graph.
+
+    whole=False: an edge may depend on a label of another file."""
     ship(spark)
     texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
 
     def rows(partition) -> Iterator[tuple]:
         for path, text in partition:
             try:
-                nodes, edges, sets = parse(text).rows()
+                nodes, edges, sets = _Parser(text).read(whole).rows()
             except DefinitionError as wrong:
                 yield path, "error", str(wrong), None, None, None
                 continue
@@ -365,3 +373,31 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
     # Rows of three nested kinds come out of one text each: there is no batch to gain from Arrow here.
     return spark.createDataFrame(texts.rdd.mapPartitions(rows), FILE_ROWS)
+
+
+def read_graph(spark: SparkSession, path: str) -> PGraph:
+    """One graph from many files, as if their texts stood one after another by path: of an attribute the last value
+    counts, memberships add up, edges keep their order. A file that can't be read, a label of edges outside blocks that
+    two files use, and a dependency on a label that no file has are errors."""
+    rows = cut(read_files(spark, path, whole=False), "files")
+    if wrong := rows.filter("kind = 'error'").orderBy("path").first():
+        raise DefinitionError(f"{wrong['path']}: {wrong['error']}")
+    edges = rows.filter("kind = 'edge'").select("path", "edge.*")
+    top = edges.filter("label <> '' AND scope_depth = 0")
+    if twice := top.groupBy("label").agg(F.min("path").alias("lo"), F.max("path").alias("hi")).filter("lo <> hi").first():
+        raise DefinitionError(f"label {twice['label']!r} stands twice, in {twice['lo']} and {twice['hi']}")
+    if lost := edges.filter("parent <> ''").join(edges.filter("label <> ''").select(F.col("label").alias("parent")), "parent", "left_anti").first():
+        raise DefinitionError(f"edge {lost['src']}->{lost['dst']} depends on the unknown label {lost['parent']!r}")
+    # One row a file is numbered; its edges come after those of the files before.
+    sizes = edges.groupBy("path").agg(F.count("*").alias("n"))
+    before = sizes.select("path", F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    edges = edges.join(before, "path").withColumn("ord", F.col("ord") + F.col("before")).select(*EDGES.names)
+
+    def folded(kind: str, *more: Column) -> DataFrame:
+        found = rows.filter(F.col("kind") == kind).select("path", "node.*" if kind == "node" else "group.*")
+        each = F.sort_array(F.collect_list(F.struct("path", F.map_entries("attrs").alias("entries"))))
+        return found.groupBy("id").agg(F.aggregate(each, no_attrs(), lambda held, x: merged(held, F.map_from_entries(x["entries"]))).alias("attrs"), *more)
+
+    nodes = folded("node", F.array_sort(F.array_distinct(F.flatten(F.collect_list("sets")))).alias("sets"))
+    parent = F.col("attrs").getItem("parent")
+    return PGraph(nodes.withColumn("parent", F.when(parent["t"] == "r", parent["s"])).select(*NODES.names), edges, folded("set", F.max("declared").alias("declared")).select(*GROUPS.names))

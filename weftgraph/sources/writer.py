@@ -1,13 +1,17 @@
 """Canonical text of a graph: sets by id, nodes by first use in an edge, edges in order, children inside their parents.
 
-Elements are ordered by Spark; the text is put together on the driver, as it is one string.
+Elements are ordered by Spark; the text is put together on the driver, as it is one string. lines() and write_text()
+are for graphs that don't fit there: the same statements without nesting, a row each, made and written by Spark.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-from ..model import Empty, NodeRef, PGraph, unpack
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..model import PREFIX, Attributes, Empty, NodeRef, PGraph, no_sets, unpack
 from .definition import Definition, EdgeRow, NodeRow, SetRow
 
 _ESCAPED = str.maketrans({'"': '\\"', "\\": "\\\\", "\n": "\\n", "\t": "\\t"})
@@ -76,9 +80,9 @@ def canonical(graph: PGraph | Definition, keep_parents: bool = False) -> str:
 def _nodes(rows: Definition) -> str:
     place: dict[str, int] = {}
     for k, e in enumerate(rows.edges):
-        place.setdefault(e.src, 2 * k)
-        place.setdefault(e.dst, 2 * k + 1)
-    order = sorted(rows.nodes, key=lambda i: (place.get(i, 2 * len(rows.edges)), i))
+        place.setdefault(e.src, k)
+        place.setdefault(e.dst, k)
+    order = sorted(rows.nodes, key=lambda i: (place.get(i, len(rows.edges)), i))  # both ends of an edge have its place
     up = lambda i: rows.nodes[i].parent if rows.nodes[i].parent in rows.nodes else None
     below: dict[str, list[str]] = {}
     tops = []
@@ -144,3 +148,59 @@ def _group(rows: Definition, members: list[int], tail, one) -> str:
     else:
         return "\n".join(one(k, ()) for k in members)
     return f"{edges[0].label}: {ends}" + tail(members[0], ())
+
+
+# ---- statements as rows -----------------------------------------------------------------------------------
+
+
+def _digits(n: Column) -> Column:
+    """A number without an exponent, as number() gives it for up to 38 digits, 18 of them behind the point."""
+    shown = n.cast("string")
+    plain = F.when(F.contains(shown, F.lit("E")), F.regexp_replace(n.try_cast("decimal(38,18)").cast("string"), "0+$", "")).otherwise(shown)
+    return F.coalesce(F.when(n == F.rint(n), n.try_cast("decimal(38,0)").cast("string")).otherwise(plain), shown)
+
+
+def _assigned(key: Column, value: Column) -> Column:
+    """key=value as attributes are written."""
+    text = value["s"]
+    for raw, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(raw), F.lit(shown))
+    bare = (value["t"] == "r") | (key == "parent")
+    shown = F.when(value["t"] == "b", value["b"].cast("string")).when(value["t"] == "n", _digits(value["n"])).when(bare, value["s"]).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+    return F.when(value["t"] == "e", key).otherwise(F.concat(key, F.lit("="), shown))
+
+
+def _statement(columns: dict[str, str], start: Column, more: list[Column], grouped: bool = True) -> Column:
+    """start, the attributes by name, and memberships; more: further attributes as structs of k and v, null if absent."""
+    of = Attributes(columns)
+    entry = lambda k, v: F.struct(k.alias("k"), _assigned(k, v).alias("v"))
+    shredded = [F.when(F.col(f"`{PREFIX}{n}`").isNotNull(), entry(F.lit(n), of.value(n))) for n in columns]
+    found = F.transform(F.coalesce(F.map_entries("attrs"), F.array().cast("array<struct<key:string,value:struct<t:string,s:string,n:double,b:boolean>>>")), lambda e: entry(e["key"], e["value"]))
+    found = F.array_sort(F.filter(F.concat(found, F.array(*shredded, *more)) if shredded or more else found, lambda x: x.isNotNull()))
+    attrs = F.when(F.size(found) > 0, F.concat(F.lit(" ["), F.array_join(found["v"], ", "), F.lit("]"))).otherwise("")
+    members = F.array_join(F.transform(F.array_sort(F.coalesce("sets", no_sets())), lambda s: F.concat(F.lit(" @"), s)), "") if grouped else F.lit("")
+    return F.concat(start, attrs, members)
+
+
+def lines(graph: PGraph) -> DataFrame:
+    """part (0 set, 1 node, 2 edge), id (of sets and nodes), ord (of edges), line: a statement for each element. Read in
+    this order they give the graph again, but for the depths of scopes, as blocks become attributes `parent`."""
+    none = F.lit(None)
+    parent = F.when(F.col("parent") != "", F.struct(F.lit("parent").alias("k"), F.concat(F.lit("parent="), F.col("parent")).alias("v")))
+    sets = graph.sets.select(F.lit(0).alias("part"), "id", none.cast("long").alias("ord"), _statement({}, F.concat(F.lit("set "), F.col("id")), [], False).alias("line"))
+    nodes = graph.nodes.select(F.lit(1), "id", none.cast("long"), _statement(graph.node_columns, F.concat(F.lit("node "), F.col("id")), []))
+    each = graph.edges.select("ord", "src", "dst", "label", _statement(graph.edge_columns, F.lit(""), [parent]).alias("rest"))
+    # A label stands once: its edges are one statement if they share an end.
+    held = each.filter("label <> ''").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("ord", "src", "dst", "rest"))).alias("all"))
+    ends = lambda e: F.array_join(F.col("all")[e], ",")
+    of = lambda x, src, dst: F.struct(x["ord"].alias("ord"), F.concat("label", F.lit(": "), src, F.lit("->"), dst, x["rest"]).alias("line"))
+    first = F.col("all")[0]
+    written = F.when(F.size(F.array_distinct(F.col("all")["dst"])) == 1, F.array(of(first, ends("src"), first["dst"]))).when(F.size(F.array_distinct(F.col("all")["src"])) == 1, F.array(of(first, first["src"], ends("dst"))))
+    labelled = held.select(F.explode(written.otherwise(F.transform("all", lambda x: of(x, x["src"], x["dst"])))).alias("e")).select("e.ord", "e.line")
+    edges = each.filter("label = ''").select("ord", F.concat("src", F.lit("->"), "dst", "rest").alias("line")).unionByName(labelled).select(F.lit(2), none.cast("string"), "ord", "line")
+    return sets.union(nodes).union(edges)
+
+
+def write_text(graph: PGraph, path: str) -> None:
+    """The lines of a graph as text files in order: read one after another by name, they are its definition."""
+    lines(graph).orderBy("part", "id", "ord").select("line").write.text(path)
