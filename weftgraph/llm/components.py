@@ -22,14 +22,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(most_rounds):
         sides = now.unionByName(now.select(v.alias("u"), u.alias("v")))
-        least = sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Dealt anew, a minimum is a side of the join by itself, and Spark can split a hot node's rows on the other side.
+        least = sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).repartition("u")
         large = sides.filter(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v")).filter(u > v).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).repartition("u")
         pairs = large.join(least, "u").select(F.explode(F.array(F.struct(u.alias("u"), F.col("m").alias("v")), F.struct(v.alias("u"), F.col("m").alias("v")))).alias("e"))
         before, now = now, cut(pairs.select("e.u", "e.v").filter(u > v).distinct(), "edges")
         release(before)
         new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if new == state:
+        if new == state or not new["n"]:
             return now.select(u.alias("node"), v.alias("component"))
         state = new
     raise RuntimeError(f"no end after {most_rounds} rounds")

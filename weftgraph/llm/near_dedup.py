@@ -9,8 +9,9 @@ signature; two permutations stand in for one per coordinate. Signatures are cut
 2. Each such edge is verified on the full sets. The members of a centre are dealt to units of bounded size, each with
    the centre's set, so a group of near copies of one text costs one comparison a copy, however large it is.
 3. Only in coarse groups that these links leave in several parts, sets of different parts meet too, best candidates by
-   signature first. Such a group is cut into blocks by part; every two blocks that aren't of one part meet in a unit of
-   bounded size, and pairs that links found so far connect are left out: they can't change what is reachable.
+   signature first: all of a group of up to BLOCK_SHINGLES, those that share a band of a larger one, band by band. A
+   band with more than fits a unit is cut into blocks by part, and every two blocks that aren't of one part meet. Pairs
+   that links found so far connect are left out: they can't change what is reachable.
 4. The components of the verified links, carried over to all members of the classes, are the result.
 
 Null and empty texts have empty sets and link with nothing. Rows with one set always link. Rows are told apart by id
@@ -211,11 +212,22 @@ def _with_centres(star: DataFrame, members: DataFrame, sets: DataFrame, percent:
     return units.mapInArrow(check, "a long, b long")
 
 
-def _between_parts(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links a, b between parts of members (node, group, part, n) that similar sets of one group connect; None if every
-    group has one part."""
-    several = members.groupBy("group").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.sum("n").alias("w")).filter("lo <> hi").select("group", "w")
-    open_ = cut(members.join(several, "group"), "open")
+def _several(members: DataFrame) -> DataFrame:
+    """group, w (shingles) of the groups with members of several parts."""
+    return members.groupBy("group").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.sum("n").alias("w")).filter("lo <> hi").select("group", "w")
+
+
+def _between_parts(members: DataFrame, keyed: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links a, b between parts of members (node, group, part, n; their bands: node, key) that similar sets of one group
+    connect; None if every group has one part."""
+    groups = cut(_several(members), "several")
+    if groups.isEmpty():
+        return None
+    whole = members.join(groups.filter(F.col("w") <= BLOCK_SHINGLES), "group").withColumn("group", F.concat(F.lit("g"), F.col("group").cast("string")))
+    by_band = members.join(groups.filter(F.col("w") > BLOCK_SHINGLES).select("group"), "group", "left_semi").join(keyed, "node")
+    by_band = by_band.select("node", F.concat(F.lit("k"), F.col("key").cast("string")).alias("group"), "part", "n")
+    by_band = by_band.join(_several(by_band), "group")
+    open_ = cut(whole.select("node", "group", "part", "n", "w").unionByName(by_band.select("node", "group", "part", "n", "w")), "open")
     if open_.isEmpty():
         return None
     large = F.col("w") > BLOCK_SHINGLES
@@ -287,7 +299,7 @@ def _judged(docs: DataFrame, percent: int) -> DataFrame:
     sets = cut(_sets(docs, members.select("node", "mark")), "sets")
     parts = cut(_all_of(components(cut(_with_centres(star, members, sets, percent), "links")), "part"), "parts")
     apart = members.select("node", "group", "n").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    more = _between_parts(apart, sets, percent)
+    more = _between_parts(apart, keyed, sets, percent)
 
     # 4. components
     linked = parts
