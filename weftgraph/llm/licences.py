@@ -3,7 +3,9 @@
 Passages of a text are its windows of about each template's own length (a fourth more or less), wherever they begin
 and across line breaks, and its lines of up to LONG tokens. A passage's vector has a weight tf * idf for each token,
 with document frequencies counted over all files; a text goes to the template with the greatest cosine to any of its
-passages, if that is LIKE or more. Most passages are never scored: of each template the heaviest tokens are taken
+passages, if that is LIKE or more. All licences of a text are listed too: passages of LIKE or more are taken from the
+most similar on, each that overlaps none taken before and none that is a template word for word (other than itself or
+one of the same words). Most passages are never scored: of each template the heaviest tokens are taken
 until the rest alone couldn't reach LIKE, and a passage without any of them can't either.
 
 All tokens are counted by one distributed aggregation; only the templates' own come to the driver. A passage of those
@@ -138,9 +140,10 @@ class Matcher:
         cosine, k = max(found)
         return cosine, -k
 
-    def passages(self, raw: bytes) -> tuple[int, list[tuple[int, int, float, float, tuple[int, ...]]]]:
-        """Tokens of a text; number of template, tokens, dot product, squared norm and hashes of other tokens of each
-        passage that reaches the threshold if its other tokens are as light as can be (in all files: a weight of 1)."""
+    def passages(self, raw: bytes) -> tuple[int, list[tuple[int, int, int, float, float, tuple[int, ...]]]]:
+        """Tokens of a text; number of template, first token, tokens, dot product, squared norm and hashes of other tokens
+        of each passage that reaches the threshold if its other tokens are as light as can be (in all files: a weight of
+        1) and that doesn't overlap a passage of words of a template alone, in its weights."""
         b = np.frombuffer(raw, np.uint8)
         if not len(b):
             return 0, []
@@ -155,7 +158,7 @@ class Matcher:
         line = np.searchsorted(np.flatnonzero(b == 10), start)
         spans = np.unique(line[places])
         spans = list(zip(np.searchsorted(line, spans).tolist(), np.searchsorted(line, spans, side="right").tolist()))
-        found: dict[tuple, None] = {}
+        found: list[tuple] = []
         for k, sizes in enumerate(self.lengths):
             hits = places[self.telling[k, numbers[places]]]
             if not len(hits):
@@ -169,23 +172,31 @@ class Matcher:
             for first, last in sorted(tried):
                 dot, norm, others = self.likeness(numbers[first:last].tolist(), k)
                 if dot > 0 and dot >= (self.like - 1e-9) * math.sqrt(norm + others):
-                    found[k, last - first, dot, norm, tuple(sorted(hashes[first:last][numbers[first:last] < 0].tolist()))] = None
-        return n, list(found)
-
-    def decide(self, passages: Iterable[tuple], counts: dict[int, int] | None = None) -> tuple[str | None, float, int]:
-        """Licence, cosine and tokens of the best of some passages; (None, 0, 0) without one."""
-        cosine, k, size = max(((self.cosine(dot, norm, others, counts), -k, size) for k, size, dot, norm, others in passages), default=(0.0, 0, 0))
-        return (self.templates[-k][0], cosine, size) if cosine >= self.like else (None, 0.0, 0)
+                    found.append((k, first, last - first, dot, norm, tuple(sorted(hashes[first:last][numbers[first:last] < 0].tolist()))))
+        same = [(f, f + size) for _, f, size, dot, norm, others in found if not others and self.cosine(dot, norm, ()) >= 1]
+        covered = np.zeros(n + 1, np.int64)
+        for first, last in same:
+            covered[first] += 1
+            covered[last] -= 1
+        covered = np.concatenate([[0], np.cumsum(np.cumsum(covered) > 0)])
+        exact = set(same)
+        return n, [p for p in found if (p[1], p[1] + p[2]) in exact or covered[p[1] + p[2]] == covered[p[1]]]
+
+    def decide(self, passages: Iterable[tuple], counts: dict[int, int] | None = None) -> tuple[list[str], str | None, float, int]:
+        """All licences by name, and licence, cosine and tokens of the best passage; ([], None, 0, 0) without one."""
+        scored = sorted((-self.cosine(dot, norm, others, counts), k, first, size) for k, first, size, dot, norm, others in passages)
+        taken: list[tuple[float, int, int, int]] = []
+        for x in scored:
+            if -x[0] >= self.like and all(x[2] >= t[2] + t[3] or t[2] >= x[2] + x[3] for t in taken if t[2] - x[3] < x[2] < t[2] + t[3]):
+                taken.append(x)
+        if not taken:
+            return [], None, 0.0, 0
+        cosine, k, _, size = taken[0]
+        return sorted({self.templates[x[1]][0] for x in taken}), self.templates[k][0], -cosine, size
 
     def scan(self, raw: bytes) -> tuple[str | None, float, int]:
-        """As decide, for a text."""
-        return self.decide(self.passages(raw)[1])
-
-    def undecided(self, passages: list[tuple]) -> list[tuple]:
-        """Those that can be the best one, whatever the frequencies of their other tokens, which occur in a file at least."""
-        rare = math.log((self.n + 1) / 2) + 1
-        sure = max([self.like, *(self.cosine(dot, norm, others, each=rare) for _, _, dot, norm, others in passages)])
-        return [p for p in passages if self.cosine(*p[2:], each=1.0) >= sure - 1e-9]
+        """Licence, cosine and tokens of the best passage of a text."""
+        return self.decide(self.passages(raw)[1])[1:]
 
 
 def document_frequencies(files: DataFrame) -> DataFrame:
@@ -230,14 +241,15 @@ def frequencies(files: DataFrame) -> tuple[dict[bytes, int], int]:
     return of_templates(document_frequencies(files))
 
 
-_FOUND = "own_licence string, similarity double, _size int"
+_FOUND = "licences array<string>, own_licence string, similarity double, _size int"
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """files (path, text, ...) with own_licence, similarity, is_licence_file, licence and inherited_from in place of text."""
+    """files (path, text, ...) with licences (all in the text), own_licence (the best), similarity, is_licence_file, licence
+    and inherited_from in place of text."""
     counted = document_frequencies(files)
     matcher = Matcher(*of_templates(counted))
-    outs = ("text", "own_licence", "similarity", "is_licence_file", "licence", "inherited_from")
+    outs = ("text", "licences", "own_licence", "similarity", "is_licence_file", "licence", "inherited_from")
     rows = files.select(row_of(files.select(*(F.col(f"`{c}`") for c in files.columns if c not in outs))), F.col("text").cast("string").alias("text"))
     more = T._parse_datatype_string(_FOUND + ", _words int, _key binary, _open binary, _others array<bigint>").fields
     schema = T.StructType([rows.schema["row"], *more])
@@ -248,10 +260,11 @@ def scan(files: DataFrame) -> DataFrame:
             rows = []
             for raw in texts_of(batch.column(1)):
                 n, found = matcher.passages(bytes(raw))
-                found = sorted(matcher.undecided(found))
-                others = sorted({t for p in found for t in p[4]})
-                packed = json.dumps(found).encode() if others else None
-                sure = (None, None, None) if others else matcher.decide(found)
+                others = sorted({t for p in found for t in p[5]})
+                # Places from the first passage on, so that like passages anywhere are settled once.
+                at = min((p[1] for p in found), default=0)
+                packed = json.dumps(sorted((p[0], p[1] - at, *p[2:]) for p in found)).encode() if others else None
+                sure = (None, None, None, None) if others else matcher.decide(found)
                 rows.append((*sure, n, packed and hashlib.blake2b(packed, digest_size=16).digest(), packed, np.array(others, np.uint64).view(np.int64).tolist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=schema.names)
 
@@ -261,7 +274,7 @@ def scan(files: DataFrame) -> DataFrame:
             for packed, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 counts = {r["k"] % (1 << 64): r["n"] for r in known}
                 rows.append(matcher.decide(json.loads(packed), counts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["_key", "own_licence", "similarity", "_size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["_key", "licences", "own_licence", "similarity", "_size"])
 
     own = cut(rows.mapInArrow(run, schema), "passages")
     # Files with one text, or with like passages, share a key: each is settled once.
@@ -270,13 +283,13 @@ def scan(files: DataFrame) -> DataFrame:
     wanted = counted.join(asked.select("k").distinct(), "k", "left_semi")
     known = asked.join(wanted, "k").groupBy("_key").agg(F.collect_list(F.struct("k", "n")).alias("_known"))
     settled = cut(open_.select("_key", "_open").join(known, "_key").mapInArrow(settle, "_key binary, " + _FOUND), "settled")
-    sure = own.filter("_key IS NULL").select("row", "own_licence", "similarity", "_size", "_words")
+    sure = own.filter("_key IS NULL").select("row", "licences", "own_licence", "similarity", "_size", "_words")
     later = own.filter("_key IS NOT NULL").select("row", "_words", "_key").join(settled, "_key").select(*sure.columns)
     both = sure.unionByName(later).withColumn("path", F.col("row.path").cast("string"))
     named = F.regexp_replace(F.coalesce("path", F.lit("")), "^(?s:.*)/", "").rlike(FILE_NAME.pattern)
     kind = F.col("own_licence").isNotNull() & (named | (F.col("_size") >= FILE_SHARE * F.col("_words")))
-    out = inherit(both.select("row", "path", "own_licence", "similarity", kind.alias("is_licence_file")))
-    return out.select("row.*", "own_licence", "similarity", "is_licence_file", "licence", "inherited_from")
+    out = inherit(both.select("row", "path", "licences", "own_licence", "similarity", kind.alias("is_licence_file")))
+    return out.select("row.*", "licences", "own_licence", "similarity", "is_licence_file", "licence", "inherited_from")
 
 
 def inherit(scanned: DataFrame) -> DataFrame:
