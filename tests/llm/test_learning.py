@@ -326,6 +326,25 @@ def test_hashes_do_not_depend_on_stretches(monkeypatch):
     assert all(a == b for a, b, w in zip(whole.tolist(), again.tolist(), text.split()) if len(w) <= 64) and len(set(again.tolist())) == len(small)
 
 
+def in_order(spark, rows):
+    h = dict(spark.createDataFrame([(t or "",) for _, t in rows], "text string").select("text", simhash.F.xxhash64("text")).collect())
+    return sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), h[r[1] or ""], r[1] is not None))
+
+
+@pytest.mark.parametrize("heavy", [9, None])
+def test_ids_of_very_many_rows_are_cut_by_hash(spark, monkeypatch, heavy):
+    """Also where null ids, or one id, hold most rows; equal texts under one id stay together."""
+    monkeypatch.setattr(simhash, "STRETCH_BYTES", 200)
+    rows = [(heavy, f"heavy text {k}") for k in range(300)] + [(heavy, "again")] * 5 + [(k, f"light {k}") for k in range(0, 40, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    schema = simhash.T._parse_datatype_string("doc_id long, own string, next string")
+    got = simhash.with_next(df, lambda i, t, n: (i, t, n), schema)
+    order = in_order(spark, rows)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)), key=repr)
+    cuts = simhash._stretches(df.withColumn("h", simhash.F.xxhash64("text")))
+    assert len(cuts) > 15 and (len(cuts.nulls) > 10 if heavy is None else (cuts.ids == 9).sum() > 10)
+
+
 def test_order_is_the_same_however_it_is_cut(spark, monkeypatch):
     rows = [(k, f"text {k} " * (k % 5)) for k in range(0, 400, 3)] + [(9, "other"), (9, None), (None, "no id"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -333,7 +352,7 @@ def test_order_is_the_same_however_it_is_cut(spark, monkeypatch):
     whole = sorted(map(tuple, simhash.with_next(df, lambda i, t, n: (i, t, n), schema).collect()), key=repr)
     monkeypatch.setattr(simhash, "STRETCH_BYTES", 100)
     cut = sorted(map(tuple, simhash.with_next(df, lambda i, t, n: (i, t, n), schema).collect()), key=repr)
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
+    order = in_order(spark, rows)
     plain = [(i, t or "", order[(k + 1) % len(order)][1] or "") for k, (i, t) in enumerate(order)]
     assert whole == cut == sorted(plain, key=repr)
     assert simhash.with_next(df.limit(0), lambda i, t, n: (i, t, n), schema).count() == 0
@@ -434,6 +453,42 @@ def test_notices_amid_other_words(spark):
     assert got == {f"/{k}/f": (name, 1.0 if name else 0.0) for k, (_, name) in enumerate(texts)}
 
 
+def test_all_licences_of_a_file(spark):
+    other = "some words between them"
+    texts = {
+        f"Released under the MIT License. {other} Licensed under the Apache License, Version 2.0": ["Apache-2.0", "MIT"], "Licensed under CC BY-NC 4.0": ["CC-BY-NC-4.0"], f"Licensed under CC BY 4.0 {other} All rights reserved": ["CC-BY-4.0", "proprietary"],
+        " ".join(["MIT License"] * 50): ["MIT"], other: [], "": [],
+    }
+    df = spark.createDataFrame([(f"/{k}/f", t, "mine", 1) for k, t in enumerate(texts)] + [("/x/f", None, None, None)], "path string, text string, _dir string, folder int")
+    out = licences.scan(df)
+    assert out.columns == ["path", "_dir", "folder", "licences", "own_licence", "similarity", "is_licence_file", "licence", "inherited_from"]
+    got = {r.path: r.licences for r in out.collect()}
+    assert got == {**{f"/{k}/f": want for k, want in enumerate(texts.values())}, "/x/f": []}
+
+
+def test_inheritance_over_drawn_trees(spark, monkeypatch):
+    from weftgraph.llm import common
+
+    rng = random.Random(14)
+    rows = [("/" + "/".join(rng.choices("abc", k=rng.randint(0, 4)) + [f"f{k}"]), rng.choice([None, None, None, "MIT", "GPL-3.0"])) for k in range(150)] + [(None, "MIT"), (None, None), ("bare", None)]
+    rows = [(p, own, own is not None and rng.random() < 0.6, "x") for p, own in rows]
+    folder = lambda p: p.rpartition("/")[0] if "/" in p else p
+    holders = {}
+    for p, own, holds, _ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        if holds:
+            holders.setdefault(folder(p), own)
+    want = []
+    for p, own, holds, x in rows:
+        ups = [] if p is None else [folder(p).rsplit("/", n)[0] for n in range(folder(p).count("/") + 1)]
+        up = next((u for u in ups if u in holders), None)
+        want.append((p, own, holds, x, own or holders.get(up), up if own is None else None))
+    df = spark.createDataFrame(rows, "path string, own_licence string, is_licence_file boolean, folder string")
+    for most in (10_000, 2):
+        monkeypatch.setattr(common, "MOST_HOT", most)
+        monkeypatch.setattr(common, "HOT_ROWS", 3)
+        assert sorted(map(tuple, licences.inherit(df).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_weights_are_those_of_all_files(spark):
     """Words outside the templates weigh what their frequencies make them weigh, and results don't drift with size."""
     notice = "licensed under the apache license of version 2 0"

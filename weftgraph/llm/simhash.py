@@ -16,7 +16,9 @@ op9_fingerprints searches with RADIUS = 3 of 128 bits (a likeness of 0.977 or mo
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 
@@ -68,46 +70,100 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     return df.withColumn(out, prints(F.col(text).cast("string"))).drop(text)
 
 
-def _stretches(docs: DataFrame) -> list[int]:
-    """Ids, falling, at which the stretches of the order begin; the first is the largest id."""
-    found = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.max("doc_id").alias("top")).first()
-    if found["top"] is None:
-        return []
+@dataclass
+class Stretches:
+    """Where the stretches of an order begin: at ids, falling, and inside an id of very many rows (or null) at hashes.
+
+    ids, hashes: of the first row of each stretch; LOWEST where it begins with its id. nulls: hashes of the first rows of
+    stretches of null ids; without any, null ids end the last stretch.
+    """
+
+    ids: np.ndarray
+    hashes: np.ndarray
+    nulls: np.ndarray
+    LOWEST = -(1 << 63)
+
+    def __len__(self) -> int:
+        return len(self.ids) + len(self.nulls)
+
+    def of(self, ids: np.ndarray, null: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The stretch that each row lies in."""
+        rising = self.ids[::-1]
+        at = len(rising) - 1 - np.searchsorted(rising, ids, side="left")  # the last stretch that begins at the id or above
+        for i in np.unique(self.ids[self.hashes > self.LOWEST]).tolist():
+            mine = (ids == i) & ~null
+            if mine.any():
+                begin = np.flatnonzero(self.ids == i)
+                at[mine] = begin[0] + np.searchsorted(self.hashes[begin], h[mine], side="right") - 1
+        if len(self.nulls):
+            return np.where(null, len(self.ids) + np.searchsorted(self.nulls, h, side="right") - 1, at)
+        return np.where(null, len(self.ids) - 1, at)
+
+    def begins(self, ids: np.ndarray, null: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Whether a row may be the first one of its stretch."""
+        out = np.isin(ids, self.ids[self.hashes == self.LOWEST]) & ~null
+        for i in np.unique(self.ids[self.hashes > self.LOWEST]).tolist():
+            mine = (ids == i) & ~null
+            out[mine] = np.isin(h[mine], self.hashes[self.ids == i])
+        return np.where(null, np.isin(h, self.nulls), out)
+
+
+def _stretches(docs: DataFrame) -> Stretches:
+    """Stretches of about STRETCH_BYTES of docs (doc_id, text, h)."""
+    size = F.octet_length("text")
+    found = docs.agg(F.sum(size).alias("bytes"), F.max("doc_id").alias("top"), F.sum(F.when(F.col("doc_id").isNull(), size)).alias("null_bytes")).first()
     n = int(min(MOST_STRETCHES, max(1, (found["bytes"] or 0) // STRETCH_BYTES)))
-    if n == 1:
-        return [found["top"]]
-    shares = [k / n for k in range(1, n)]
-    inner = docs.agg(F.percentile_approx("doc_id", shares, 20 * n).alias("ids")).first()["ids"]
-    return sorted({found["top"], *inner}, reverse=True)
+    ids = [] if found["top"] is None else [found["top"]]
+    if n > 1 and ids:
+        inner = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n).alias("ids")).first()["ids"]
+        ids = sorted([*ids, *inner], reverse=True)
+    # An id that stands several times among the quantiles has rows for several stretches: they are cut by hash.
+    parts = Counter(ids)
+    many = {i: k for i, k in parts.items() if k > 2}
+    null_parts = int(min(MOST_STRETCHES, (found["null_bytes"] or 0) // STRETCH_BYTES))
+    starts = [(i, Stretches.LOWEST) for i in sorted(parts, reverse=True) if i not in many]
+    nulls = []
+    if many or null_parts > 1:
+        spread = docs.sparkSession.createDataFrame([*many.items(), (None, max(1, null_parts))], "of long, parts long")
+        cuts = docs.join(F.broadcast(spread), F.col("doc_id").eqNullSafe(F.col("of")))  # at most MOST_STRETCHES ids
+        part = F.floor((F.col("h").cast("double") / float(1 << 63) + 1) / 2 * F.col("parts"))
+        for r in cuts.groupBy("of", part.alias("part")).agg(F.min("h").alias("h")).collect():
+            (nulls if r["of"] is None else starts).append(r["h"] if r["of"] is None else (r["of"], r["h"]))
+    starts.sort(key=lambda x: (-x[0], x[1]))
+    return Stretches(np.array([i for i, _ in starts], np.int64), np.array([h for _, h in starts], np.int64), np.array(sorted(nulls), np.int64))
 
 
 def with_next(docs: DataFrame, visit, schema: T.StructType) -> DataFrame:
     """visit(doc_id, text, next text) for each row of docs (doc_id, text) in descending order of doc_id, rows with one
-    id by text, null ids last; after the last row comes the first again. visit returns a tuple of the schema's columns.
+    id by a hash of the text, null ids last; after the last row comes the first again. visit returns a tuple of the
+    schema's columns.
 
-    The order is cut into stretches of about equal bytes, each streamed by one task. The row at which a stretch begins
-    is also sent to the stretch before it, so no row is looked up elsewhere and texts are shuffled once.
+    The order is cut into stretches of about equal bytes, inside an id or the null ids too if they have very many rows,
+    each streamed by one task. The row at which a stretch begins is also sent to the stretch before it, so no row is
+    looked up elsewhere and texts are shuffled once. Only rows that repeat id and text are never parted.
     """
     small_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     starts = _stretches(docs)
-    rising = np.array(starts[::-1], np.int64)
     n = max(1, len(starts))
 
+    def arrays(ids: pd.Series, h: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return ids.fillna(0).to_numpy(np.int64), ids.isna().to_numpy(), h.to_numpy(np.int64)
+
     @F.pandas_udf(T.IntegerType())
-    def stretch_of(ids: pd.Series) -> pd.Series:
-        at = len(rising) - 1 - np.searchsorted(rising, ids.fillna(0).to_numpy(np.int64), side="left")
-        return pd.Series(np.where(ids.isna(), n - 1, at).astype(np.int32))
+    def stretch_of(ids: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(starts.of(*arrays(ids, h)).astype(np.int32))
 
-    own = docs.select("doc_id", "text").withColumn("_at", stretch_of("doc_id") if starts else F.lit(0)).withColumn("_guest", F.lit(False))
+    own = docs.withColumn("_at", stretch_of("doc_id", "h") if n > 1 else F.lit(0)).withColumn("_guest", F.lit(False))
     if n > 1:
         @F.pandas_udf(T.BooleanType())
-        def begins(ids: pd.Series) -> pd.Series:
-            return ids.isin(rising) & ids.notna()
+        def begins(ids: pd.Series, h: pd.Series) -> pd.Series:
+            return pd.Series(starts.begins(*arrays(ids, h)))
 
         both = F.array(F.struct(F.col("_at"), F.lit(False).alias("_guest")), F.struct(F.pmod(F.col("_at") - 1, F.lit(n)).cast("int").alias("_at"), F.lit(True).alias("_guest")))
         one = F.array(F.struct(F.col("_at"), F.lit(False).alias("_guest")))
-        own = own.withColumn("_to", F.explode(F.when(begins("doc_id"), both).otherwise(one))).select("doc_id", "text", "_to._at", "_to._guest")
-    ordered = own.repartitionById(n, F.col("_at")).sortWithinPartitions("_guest", F.col("doc_id").desc_nulls_last(), "text")
+        own = own.withColumn("_to", F.explode(F.when(begins("doc_id", "h"), both).otherwise(one))).select("doc_id", "text", "h", "_to._at", "_to._guest")
+    ordered = own.repartitionById(n, F.col("_at")).sortWithinPartitions("_guest", F.col("doc_id").desc_nulls_last(), "h", "text")
     names, kinds = schema.names, [to_arrow_type(f.dataType) for f in schema]
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
