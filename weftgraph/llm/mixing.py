@@ -179,10 +179,10 @@ def segments(mix: Mix, block: int = BLOCK_WORDS) -> DataFrame:
     laid = mix.laid.filter("size > 0")
     end = F.col("at") + F.col("size")
     inside = F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))
-    cut_up = _copies(laid).withColumn("at", F.col("at") + F.col("copy") * F.col("size")).select("doc_id", "src", "size", "h", "copy", "at", F.explode(inside).alias("block"))
+    cut_up = _copies(laid).withColumn("at", F.col("at") + F.col("copy") * F.col("size")).select("doc_id", "src", "size", "h", "copy", "copies", "at", F.explode(inside).alias("block"))
     first = F.greatest(F.col("block") * block, F.col("at")) - F.col("at")
     last = F.least((F.col("block") + 1) * block, end) - F.col("at") - 1
-    return cut_up.select("doc_id", "src", "size", "h", "copy", "block", first.alias("first"), last.alias("last"))
+    return cut_up.select("doc_id", "src", "size", "h", "copy", "copies", "block", first.alias("first"), last.alias("last"))
 
 
 def _copies(laid: DataFrame) -> DataFrame:
@@ -214,9 +214,15 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     mix = plan(docs)
     parts = segments(mix).join(mix.draws.select("src", "block", "pass"), ["src", "block"])
-    runs = parts.groupBy("h", F.xxhash64("doc_id").alias("id"), "copy", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
-    rows = docs.select(row_of(docs), F.xxhash64(*docs.columns).alias("h"), F.xxhash64("doc_id").alias("id")).dropDuplicates(["h", "id"])
-    both = rows.join(runs, ["h", "id"]).select("row", F.struct("runs.first", "runs.last").alias("taken"))
+    runs = parts.groupBy("h", F.xxhash64("doc_id").alias("id"), "copy", "copies", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    runs = runs.select("h", "id", "copies", F.struct("runs.first", "runs.last").alias("taken"))
+    rows = docs.select(row_of(docs), F.xxhash64(*docs.columns).alias("h"), F.xxhash64("doc_id").alias("id"))
+    # A row that is there once has a run or two a pass: a hash table of these, so that texts are dealt out but not sorted.
+    both = rows.join(runs.filter("copies = 1").drop("copies").hint("shuffle_hash"), ["h", "id"]).select("row", "taken")
+    repeated = mix.laid.filter("copies > 1").select("h", F.xxhash64("doc_id").alias("id")).distinct()
+    if not repeated.isEmpty():
+        once = rows.join(repeated, ["h", "id"], "left_semi").dropDuplicates(["h", "id"])
+        both = both.unionByName(once.join(runs.filter("copies > 1").drop("copies"), ["h", "id"]).select("row", "taken"))
     names = docs.columns
     text = names.index("text")
 

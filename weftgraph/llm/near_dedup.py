@@ -340,8 +340,13 @@ def keep_firsts(docs: DataFrame, percent: int = 80) -> DataFrame:
     several with that id and different texts one by a hash of the text, of rows that repeat id and text any one. Rows
     without words link with nothing, and all of them stay."""
     judged = _judged(_cast(docs), percent)
-    firsts = judged.filter("n_shingles > 0 AND mark = first.mark").select("mark").distinct()
+    firsts = cut(judged.filter("n_shingles > 0 AND mark = first.mark").groupBy("mark").agg(F.count("*").alias("times")), "firsts")
     text = F.col("text").cast("string")
     rows = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(WORD), F.lit(False)).alias("worded"))
-    kept = rows.filter("worded").select("row", _mark("doc_id", "text").alias("mark")).dropDuplicates(["mark"]).join(firsts, "mark", "left_semi")
-    return kept.select("row.*").unionByName(rows.filter("NOT worded").select("row.*"))
+    marked = rows.filter("worded").select("row", _mark("doc_id", "text").alias("mark"))
+    # A hash table of marks, each of 16 bytes and there once, so that texts are dealt out but never sorted.
+    kept = marked.join(firsts.filter("times = 1").select("mark").hint("shuffle_hash"), "mark", "left_semi").select("row.*")
+    repeated = firsts.filter("times > 1").select("mark")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(marked.join(repeated, "mark", "left_semi").dropDuplicates(["mark"]).select("row.*"))
+    return kept.unionByName(rows.filter("NOT worded").select("row.*"))
