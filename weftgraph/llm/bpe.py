@@ -17,6 +17,7 @@ unchanged, those called as a result are replaced.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import re
 import struct
@@ -31,10 +32,10 @@ from pyspark.sql import types as T
 from .common import small_batches, table, texts_of, tidy
 from .tokens import default_path
 
-KEPT_BYTES, LONG_WORD = 24 << 20, 256
+KEPT_BYTES, LONG_WORD = 16 << 20, 256
 #: Bytes that a kept word takes beside its own and its ids', about.
 _EACH = 170
-KEPT_PAIRS = 100_000
+KEPT_PAIRS = 50_000
 _END = "\0"  # stands behind the last symbol of a word inside the automaton; byte-level symbols never hold it
 
 
@@ -199,7 +200,10 @@ class PrefixBpe:
 @functools.lru_cache(maxsize=2)
 def coder(path: str) -> PrefixBpe:
     """One for each Python worker, which serves many tasks."""
-    return PrefixBpe(path)
+    made = PrefixBpe(path)
+    gc.collect()
+    tidy()  # what reading the file took
+    return made
 
 
 def _mapped(df: DataFrame, column: str, path: str, outs: dict[str, T.DataType], make) -> DataFrame:
