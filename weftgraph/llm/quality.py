@@ -154,7 +154,8 @@ def learn(counted: DataFrame) -> Trust:
     return Trust(float(np.log(share / (1 - share))), tuple(np.log(good / (1 - bad)).tolist()), tuple(np.log((1 - good) / bad).tolist()))
 
 
-def _base_failed() -> Column:
+def base_failed() -> Column:
+    """Whether the base limits rule a text out, whatever the rules vote."""
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
@@ -162,7 +163,7 @@ def judge_quality(df: DataFrame, text: str = "text") -> DataFrame:
     """df with STATISTICS, p_quality, base_failed and kept in place of the text."""
     own = [c for c in df.columns if c != text and c not in (*STATISTICS, "p_quality", "base_failed", "kept")]
     counted = cut(statistics(df.select(*own, text), text), "quality")
-    judged = counted.withColumn("p_quality", learn(counted).p_quality()).withColumn("base_failed", _base_failed())
+    judged = counted.withColumn("p_quality", learn(counted).p_quality()).withColumn("base_failed", base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_quality") >= KEEP_AT))
 
 
@@ -182,7 +183,7 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k]) for k in range(len(STATISTICS)))], names=schema.names)
         tidy()
 
-    return rows.mapInArrow(measure, schema).filter(~_base_failed() & (trust.p_quality() >= KEEP_AT)).select("row.*")
+    return rows.mapInArrow(measure, schema).filter(~base_failed() & (trust.p_quality() >= KEEP_AT)).select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

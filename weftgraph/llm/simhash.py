@@ -16,6 +16,7 @@ op9_fingerprints searches with RADIUS = 3 of 128 bits (a likeness of 0.977 or mo
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -353,13 +354,17 @@ def with_links(docs: DataFrame, radius: int, blocks: int | None = None, most: in
     return out.select(*docs.columns, owned("class_id"), owned("n_links"))
 
 
-def _edited(doc_id, text: str, following: str) -> tuple:
-    import hashlib
-
+def edited_text(text: str, following: str) -> tuple[bytes, str]:
+    """The text with its last third of characters replaced by the first ones of the next text, and the hash of that."""
     part = len(text) // 3
     edited = (text[: len(text) - part] + following[:part]).encode()
+    return edited, hashlib.sha256(edited).hexdigest()
+
+
+def _edited(doc_id, text: str, following: str) -> tuple:
+    edited, digest = edited_text(text, following)
     own, other, after = fingerprint(text.encode()), fingerprint(edited), fingerprint(following.encode())
-    return doc_id, len(text), hashlib.sha256(edited).hexdigest(), own.hex(), other.hex(), likeness(own, other), likeness(own, after)
+    return doc_id, len(text), digest, own.hex(), other.hex(), likeness(own, other), likeness(own, after)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
