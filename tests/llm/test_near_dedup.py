@@ -135,7 +135,11 @@ def test_signatures_estimate_similarity():
         assert abs(np.mean(found) - share) < 0.02 and np.std(found) < 0.05
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("hot", [500, 3])
+def test_components_of_chains_and_stars(spark, monkeypatch, hot):
+    from weftgraph.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (500, 499)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {**{k: 0 for k in range(1, 41)}, **{k: 100 for k in range(101, 160)}, 500: 499}
