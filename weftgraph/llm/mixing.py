@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,11 +139,10 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP,
     slot = _shards(spark, quotas, max(slots, -(-sum(quotas) // MOST_SHARDS)), seed).join(F.broadcast(sources.select("k", "src", "n_blocks")), "k")
     slot = slot.select("shard", "k", "src", "n_blocks", F.explode(F.sequence("first", "last")).alias("slot"))
 
-    @F.pandas_udf(T.LongType())
-    def block_of(slot: pd.Series, n: pd.Series, k: pd.Series) -> pd.Series:
-        s, n = slot.to_numpy(np.int64), n.to_numpy(np.int64)
-        key = k.to_numpy(np.int64) * 1_000_003 + s // n * 7919 + seed
-        return pd.Series(permuted(s % n, n, key))
+    @F.arrow_udf(T.LongType())
+    def block_of(slot: pa.Array, n: pa.Array, k: pa.Array) -> pa.Array:
+        s, n, k = (np.asarray(x).astype(np.int64) for x in (slot, n, k))
+        return pa.array(permuted(s % n, n, k * 1_000_003 + s // n * 7919 + seed))
 
     draws = slot.select("shard", "src", F.floor(F.col("slot") / F.col("n_blocks")).cast("int").alias("pass"), block_of("slot", "n_blocks", "k").alias("block"))
     return Mix(laid, sources, draws)

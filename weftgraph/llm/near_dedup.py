@@ -25,7 +25,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,10 +162,10 @@ def _wanted(docs: DataFrame, members: DataFrame) -> DataFrame:
     for r in maps:
         bits[r["k"] * width : (r["k"] + 1) * width] = np.frombuffer(r["map"], np.uint8)
 
-    @F.pandas_udf(T.BooleanType())
-    def may_hold(k: pd.Series, at: pd.Series) -> pd.Series:
-        at = at.to_numpy(np.int64)
-        return pd.Series((bits[k.to_numpy(np.int64) * width + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1)
+    @F.arrow_udf(T.BooleanType())
+    def may_hold(k: pa.Array, at: pa.Array) -> pa.Array:
+        k, at = np.asarray(k).astype(np.int64), np.asarray(at).astype(np.int64)
+        return pa.array((bits[k * width + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1)
 
     return docs.filter(may_hold(F.bitmap_bucket_number(place), F.bitmap_bit_position(place)))
 

@@ -24,14 +24,13 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, join_hot, mix64, shingle_hashes, small_batches, table, word_hashes
+from .common import cut, join_hot, mix64, shingle_hashes, small_batches, table, texts_of, word_hashes
 
 BITS, TERM_WORDS = 128, 3
 #: Bytes of text in one stretch of the order of ids, and most stretches.
@@ -64,9 +63,9 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     """df with `out` (hex string) in place of the text."""
     small_batches(df.sparkSession)
 
-    @F.pandas_udf(T.StringType())
-    def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint((t or "").encode()).hex() for t in texts])
+    @F.arrow_udf(T.StringType())
+    def prints(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(bytes(t)).hex() for t in texts_of(texts)], pa.string())
 
     return df.withColumn(out, prints(F.col(text).cast("string"))).drop(text)
 
@@ -148,18 +147,18 @@ def with_next(docs: DataFrame, visit, schema: T.StructType) -> DataFrame:
     starts = _stretches(docs)
     n = max(1, len(starts))
 
-    def arrays(ids: pd.Series, h: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return ids.fillna(0).to_numpy(np.int64), ids.isna().to_numpy(), h.to_numpy(np.int64)
+    def arrays(ids: pa.Array, h: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.asarray(ids.fill_null(0)).astype(np.int64), np.asarray(ids.is_null()), np.asarray(h).astype(np.int64)
 
-    @F.pandas_udf(T.IntegerType())
-    def stretch_of(ids: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series(starts.of(*arrays(ids, h)).astype(np.int32))
+    @F.arrow_udf(T.IntegerType())
+    def stretch_of(ids: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array(starts.of(*arrays(ids, h)).astype(np.int32))
 
     own = docs.withColumn("_at", stretch_of("doc_id", "h") if n > 1 else F.lit(0)).withColumn("_guest", F.lit(False))
     if n > 1:
-        @F.pandas_udf(T.BooleanType())
-        def begins(ids: pd.Series, h: pd.Series) -> pd.Series:
-            return pd.Series(starts.begins(*arrays(ids, h)))
+        @F.arrow_udf(T.BooleanType())
+        def begins(ids: pa.Array, h: pa.Array) -> pa.Array:
+            return pa.array(starts.begins(*arrays(ids, h)))
 
         both = F.array(F.struct(F.col("_at"), F.lit(False).alias("_guest")), F.struct(F.pmod(F.col("_at") - 1, F.lit(n)).cast("int").alias("_at"), F.lit(True).alias("_guest")))
         one = F.array(F.struct(F.col("_at"), F.lit(False).alias("_guest")))
