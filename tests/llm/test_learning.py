@@ -262,17 +262,17 @@ def test_mix_as_replayed_by_hand(spark, monkeypatch, stretch, copies):
     assert got == want
 
 
-def test_shards_drawn_in_groups(spark):
-    quotas = [5000, 70, 0, 933]
-    got = mixing._shards(spark, quotas, 10, 3).collect()
-    assert len({r.shard for r in got}) == 601
-    for k, quota in enumerate(quotas):
-        runs = sorted((r.first, r.last) for r in got if r.k == k)
-        assert [x for f, z in runs for x in range(f, z + 1)] == list(range(quota))
-    sizes = Counter()
-    for r in got:
-        sizes[r.shard] += r.last - r.first + 1
-    assert set(sizes.values()) <= {10, 3}
+@pytest.mark.parametrize("batch", [1 << 16, 3])
+def test_shards_drawn_in_groups(spark, monkeypatch, batch):
+    monkeypatch.setattr(mixing, "BATCH_SLOTS", batch)
+    quotas, blocks = [5000, 70, 0, 933], [1700, 70, 0, 400]
+    got = mixing._shards(spark, quotas, blocks, 10, 3).collect()
+    assert len({r.shard for r in got}) == 601 and set(Counter(r.shard for r in got).values()) <= {10, 3}
+    for k, (quota, n) in enumerate(zip(quotas, blocks)):
+        mine = sorted((r.slot, r["pass"], r.block) for r in got if r.k == k)
+        assert [x[0] for x in mine] == list(range(quota))
+        for turn in range(quota // n if n else 0):
+            assert sorted(x[2] for x in mine if x[1] == turn) == list(range(n))
 
 
 # ---- fingerprints -----------------------------------------------------------------------------------------

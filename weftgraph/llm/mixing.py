@@ -40,6 +40,8 @@ MOST_SHARDS = 20_000
 MOST_SOURCES, MOST_DRAWN = 1_000_000, 4_000_000
 #: Documents in a stretch of the layout that is ordered by one task.
 STRETCH_ROWS = 4_000
+#: Slots of a shard that are taken through the permutations at once.
+BATCH_SLOTS = 1 << 16
 #: Copies of one row that a row stands for, when copies are listed.
 COPIES = 10_000
 
@@ -136,20 +138,17 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP,
     laid = rows.withColumn("at", F.coalesce(F.sum(words).over(within), F.lit(0))).join(totals, ["src", "stretch"])
     laid = laid.select("doc_id", "src", "size", "h", "copies", (F.col("at") + F.col("start")).alias("at"))
 
-    slot = _shards(spark, quotas, max(slots, -(-sum(quotas) // MOST_SHARDS)), seed).join(F.broadcast(sources.select("k", "src", "n_blocks")), "k")
-    slot = slot.select("shard", "k", "src", "n_blocks", F.explode(F.sequence("first", "last")).alias("slot"))
-
-    @F.arrow_udf(T.LongType())
-    def block_of(slot: pa.Array, n: pa.Array, k: pa.Array) -> pa.Array:
-        s, n, k = (np.asarray(x).astype(np.int64) for x in (slot, n, k))
-        return pa.array(permuted(s % n, n, k * 1_000_003 + s // n * 7919 + seed))
-
-    draws = slot.select("shard", "src", F.floor(F.col("slot") / F.col("n_blocks")).cast("int").alias("pass"), block_of("slot", "n_blocks", "k").alias("block"))
+    draws = _shards(spark, quotas, blocks, max(slots, -(-sum(quotas) // MOST_SHARDS)), seed).join(F.broadcast(sources.select("k", "src")), "k")
+    draws = draws.select("shard", "src", "pass", "block")
     return Mix(laid, sources, draws)
 
 
-def _shards(spark: SparkSession, quotas: list[int], per_shard: int, seed: int) -> DataFrame:
-    """shard, k (number of a source), first, last: the run of the source's slots that are the shard's."""
+def _shards(spark: SparkSession, quotas: list[int], blocks: list[int], per_shard: int, seed: int) -> DataFrame:
+    """shard, k (number of a source), slot (number of a draw from the source), pass, block: a row for each slot.
+
+    blocks: how many blocks each source has. A task draws the shards of a group one after another and takes the runs of
+    slots that they get of each source through the source's permutation.
+    """
     n = len(quotas)
     shards = -(-sum(quotas) // per_shard)
     in_group = max(64, -(-shards * n // MOST_DRAWN))
@@ -157,19 +156,27 @@ def _shards(spark: SparkSession, quotas: list[int], per_shard: int, seed: int) -
     for group, drawn in enumerate(shard_counts(quotas, per_shard * in_group, seed)):
         rows.append((group, drawn.tobytes(), done.tobytes()))
         done = done + drawn
+    sizes = np.array(blocks, np.int64).tobytes()  # one number a source
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.frombuffer(sizes, np.int64)
         for batch in batches:
             for group, quota, start in zip(*(c.to_pylist() for c in batch.columns)):
                 at = np.frombuffer(start, np.int64)
-                for k, drawn in enumerate(shard_counts(np.frombuffer(quota, np.int64), per_shard, seed * 1_000_003 + group + 1)):
-                    has = np.flatnonzero(drawn)
-                    shard = np.full(len(has), group * in_group + k)
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(has), pa.array(at[has]), pa.array((at + drawn - 1)[has])], names=["shard", "k", "first", "last"])
+                for i, drawn in enumerate(shard_counts(np.frombuffer(quota, np.int64), per_shard, seed * 1_000_003 + group + 1)):
+                    for f in range(0, int(drawn.sum()), BATCH_SLOTS):
+                        within = np.arange(f, min(f + BATCH_SLOTS, int(drawn.sum())))
+                        ends = np.cumsum(drawn)
+                        k = np.searchsorted(ends, within, side="right")
+                        slot = at[k] + within - (ends - drawn)[k]
+                        block = permuted(slot % size[k], size[k], k * 1_000_003 + slot // size[k] * 7919 + seed)
+                        shard = np.full(len(k), group * in_group + i)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shard, k, slot, slot // size[k], block)], names=["shard", "k", "slot", "pass", "block"])
                     at = at + drawn
+        tidy()
 
     groups = spark.createDataFrame(rows, "group long, quota binary, start binary").repartition(max(1, min(len(rows), 200)))
-    return groups.mapInArrow(draw, "shard long, k long, first long, last long")
+    return groups.mapInArrow(draw, "shard long, k long, slot long, pass long, block long")
 
 
 def segments(mix: Mix, block: int = BLOCK_WORDS) -> DataFrame:
