@@ -152,17 +152,16 @@ def with_next(docs: DataFrame, visit, schema: T.StructType) -> DataFrame:
 
     @F.arrow_udf(T.IntegerType())
     def stretch_of(ids: pa.Array, h: pa.Array) -> pa.Array:
-        return pa.array(starts.of(*arrays(ids, h)).astype(np.int32))
+        """Twice the stretch of each row, and one more if it may be its first."""
+        held = arrays(ids, h)
+        return pa.array((2 * starts.of(*held) + starts.begins(*held)).astype(np.int32))
 
-    own = docs.withColumn("_at", stretch_of("doc_id", "h") if n > 1 else F.lit(0)).withColumn("_guest", F.lit(False))
+    own = docs.withColumn("_place", stretch_of("doc_id", "h") if n > 1 else F.lit(0)).withColumn("_guest", F.lit(False))
+    own = own.withColumn("_at", F.floor(F.col("_place") / 2).cast("int"))
     if n > 1:
-        @F.arrow_udf(T.BooleanType())
-        def begins(ids: pa.Array, h: pa.Array) -> pa.Array:
-            return pa.array(starts.begins(*arrays(ids, h)))
-
         both = F.array(F.struct(F.col("_at"), F.lit(False).alias("_guest")), F.struct(F.pmod(F.col("_at") - 1, F.lit(n)).cast("int").alias("_at"), F.lit(True).alias("_guest")))
         one = F.array(F.struct(F.col("_at"), F.lit(False).alias("_guest")))
-        own = own.withColumn("_to", F.explode(F.when(begins("doc_id", "h"), both).otherwise(one))).select("doc_id", "text", "h", "_to._at", "_to._guest")
+        own = own.withColumn("_to", F.explode(F.when(F.col("_place") % 2 == 1, both).otherwise(one))).select("doc_id", "text", "h", "_to._at", "_to._guest")
     ordered = own.repartitionById(n, F.col("_at")).sortWithinPartitions("_guest", F.col("doc_id").desc_nulls_last(), "h", "text")
     names, kinds = schema.names, [to_arrow_type(f.dataType) for f in schema]
 
