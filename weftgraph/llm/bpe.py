@@ -7,7 +7,7 @@ gives, for each prefix, the tokens that are suffixes of it, longest first; the f
 last token of what stands before it is the last token of this prefix. Following the table back from the whole word
 gives the ids, in time linear in the word's length for bounded token lengths, however long the word is.
 
-Words are encoded once for each worker and kept, in two generations of KEPT_BYTES at most: when the younger is full, it
+Words are encoded once for each task and kept, in two generations of KEPT_BYTES at most: when the younger is full, it
 becomes the older one, whose words move up again when they are met. Words of over LONG_WORD bytes (text without spaces)
 are encoded where they stand and not kept. This bounds memory and drops nothing.
 Null and empty texts give no ids and decode to an empty text; equal texts get equal ids; other columns pass through
@@ -197,15 +197,23 @@ class PrefixBpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def coder(path: str) -> PrefixBpe:
-    """One for each Python worker, which serves many tasks."""
+    """The coder of this process, made where it isn't there."""
     made = PrefixBpe(path)
     gc.collect()
     tidy()  # what reading the file took
     return made
 
 
+def _forget() -> None:
+    """Frees the coder at a task's end: making another takes less than a second, and a worker that waits for another
+    stage's task, of which there may be several a core, holds none of it."""
+    coder.cache_clear()
+    gc.collect()
+    tidy()
+
+
 def _mapped(df: DataFrame, column: str, path: str, outs: dict[str, T.DataType], make) -> DataFrame:
     small_batches(df.sparkSession)
     rest = [c for c in df.columns if c != column and c not in outs]
@@ -217,7 +225,8 @@ def _mapped(df: DataFrame, column: str, path: str, outs: dict[str, T.DataType],
             named = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
             yield pa.RecordBatch.from_arrays([*(named[c] for c in rest), *make(bpe, named[column])], names=[*rest, *outs])
             del batch, named
-        tidy()
+        del bpe
+        _forget()
 
     return df.select(*rest, column).mapInArrow(run, schema)
 
