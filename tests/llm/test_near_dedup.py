@@ -64,11 +64,12 @@ def test_components_as_by_all_pairs(spark, percent):
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
 
 
-@pytest.mark.parametrize("most_hot", [10_000, 3])
-def test_large_groups_are_cut_into_blocks(spark, monkeypatch, most_hot):
+@pytest.mark.parametrize("most_hot, block", [(10_000, 400), (3, 400), (10_000, 12)])
+def test_large_groups_are_cut_into_blocks(spark, monkeypatch, most_hot, block):
+    """In blocks, and with blocks so small that groups have more of them than bands, band by band."""
     from weftgraph.llm import common
 
-    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", block)
     monkeypatch.setattr(common, "MOST_HOT", most_hot)
     monkeypatch.setattr(common, "HOT_ROWS", 2)
     rows = corpus(120, seed=5) + [(k, "one text that many share") for k in range(500, 520)]
@@ -76,9 +77,10 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch, most_hot):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 80))
 
 
-def test_centres_alone_may_not_connect_a_group(spark, monkeypatch):
+@pytest.mark.parametrize("block", [300, 40])
+def test_centres_alone_may_not_connect_a_group(spark, monkeypatch, block):
     """Near copies in a chain: each is like the next one and unlike those further on, in blocks of a few texts."""
-    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", block)
     words = [f"w{k}" for k in range(400)]
     rows = [(k, " ".join(words[6 * k : 6 * k + 110])) for k in range(40)] + [(100 + k, " ".join(words[:100] + [f"x{k}"] * 3 + words[103:110])) for k in range(20)]
     got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()

@@ -9,9 +9,9 @@ signature; two permutations stand in for one per coordinate. Signatures are cut
 2. Each such edge is verified on the full sets. The members of a centre are dealt to units of bounded size, each with
    the centre's set, so a group of near copies of one text costs one comparison a copy, however large it is.
 3. Only in coarse groups that these links leave in several parts, sets of different parts meet too, best candidates by
-   signature first: all of a group of up to BLOCK_SHINGLES, those that share a band of a larger one, band by band. A
-   band with more than fits a unit is cut into blocks by part, and every two blocks that aren't of one part meet. Pairs
-   that links found so far connect are left out: they can't change what is reachable.
+   signature first. What is more than a unit holds is cut into blocks by part, and every two blocks that aren't of one
+   part meet. A group of more blocks than there are bands is taken band by band instead, only sets that share one
+   meeting. Pairs that links found so far connect are left out: they can't change what is reachable.
 4. The components of the verified links, carried over to all members of the classes, are the result.
 
 Null and empty texts have empty sets and link with nothing. Rows with one set always link. Rows are told apart by id
@@ -188,8 +188,8 @@ def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
 def _with_centres(star: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b of each edge of star (member a, centre b) whose sets are similar."""
     loads = star.join(members.select(F.col("node").alias("a"), "n"), "a")
-    large = loads.groupBy("b").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("units"))
-    dealt = loads.join(large, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("units")).alias("salt"))
+    large = loads.groupBy("b").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("units"), F.count("*").alias("times")).filter("units > 1")
+    dealt = join_hot(loads, cut(large, "large"), "b", "times").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("units", F.lit(1))).alias("salt"))
     roles = dealt.select(F.col("a").alias("node"), "b", "salt", F.lit(1).alias("role")).unionByName(dealt.select(F.col("b").alias("node"), "b", "salt", F.lit(0).alias("role")).distinct())
     units = roles.join(sets, "node").select("b", "salt", "role", "node", "shingles").repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
 
@@ -222,8 +222,9 @@ def _between_parts(members: DataFrame, keyed: DataFrame, sets: DataFrame, percen
     groups = cut(_several(members), "several")
     if groups.isEmpty():
         return None
-    whole = members.join(groups.filter(F.col("w") <= BLOCK_SHINGLES), "group").withColumn("group", F.concat(F.lit("g"), F.col("group").cast("string")))
-    by_band = members.join(groups.filter(F.col("w") > BLOCK_SHINGLES).select("group"), "group", "left_semi").join(keyed, "node")
+    most = BLOCK_SHINGLES * (COORDINATES // rows_per_band(percent))  # a set in blocks goes to as many units as there are
+    whole = members.join(groups.filter(F.col("w") <= most), "group").withColumn("group", F.concat(F.lit("g"), F.col("group").cast("string")))
+    by_band = members.join(groups.filter(F.col("w") > most).select("group"), "group", "left_semi").join(keyed, "node")
     by_band = by_band.select("node", F.concat(F.lit("k"), F.col("key").cast("string")).alias("group"), "part", "n")
     by_band = by_band.join(_several(by_band), "group")
     open_ = cut(whole.select("node", "group", "part", "n", "w").unionByName(by_band.select("node", "group", "part", "n", "w")), "open")
