@@ -156,3 +156,20 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = queries.queries()["op1_near_dedup"](spark, sf).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 85))
+
+
+def test_no_table_is_broadcast_for_the_size_of_its_files(spark, monkeypatch):
+    """Read back, tables of many millions of rows (each set's 32 bands above all) pass for small ones."""
+    plans, cut = {}, nd.cut
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return cut(df, name)
+
+    monkeypatch.setattr(nd, "cut", seen)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    rows = corpus(120)
+    found = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85)
+    assert sorted(tuple(r)[:3] for r in found.collect()) == sorted(brute(rows, 85))
+    for name in ("star", "members", "sets"):
+        assert "SortMergeJoin" in plans[name] and "BroadcastHashJoin" not in plans[name], name

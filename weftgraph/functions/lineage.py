@@ -58,6 +58,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """df for one side of a join that then never broadcasts it for its size alone.
+
+    What Spark takes for the size of a table that was read back is the length of its compressed files, by the share
+    that the columns read have in default widths; exploded arrays count as one element. That can be a hundredth of what
+    the rows take in the driver's memory.
+    """
+    return df.hint("merge")
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables that cut() gave and that no plan reads any more."""
     for df in tables:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lineage import cut, delete, owned, release, shared_dir  # noqa: F401  for the operators
+from ..functions.lineage import by_shuffle, cut, delete, owned, release, shared_dir  # noqa: F401  for the operators
 from ..functions.workers import ship
 
 #: A word: anything but the six ASCII white-space characters. Used by Python, Spark and DuckDB alike.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import common
-from .common import cut, release
+from .common import by_shuffle, cut, release
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -34,10 +34,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         sides = now.unionByName(now.select(v.alias("u"), u.alias("v")))
         least = sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         larger = sides.filter(v > u)
-        met = larger.join(least, "u") if not seen["hot"] else None
+        met = larger.join(by_shuffle(least), "u") if not seen["hot"] else None
         if met is None:
             hot = F.broadcast(spark.createDataFrame([(x,) for x in seen["hot"]], "u long"))
-            met = larger.join(F.broadcast(least.join(hot, "u")), "u").unionByName(larger.join(hot, "u", "left_anti").join(least, "u"))
+            met = larger.join(F.broadcast(least.join(hot, "u")), "u").unionByName(larger.join(hot, "u", "left_anti").join(by_shuffle(least), "u"))
         large = met.select(v.alias("u"), F.col("m").alias("v")).filter(u > v).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u").select(F.explode(F.array(F.struct(u.alias("u"), F.col("m").alias("v")), F.struct(v.alias("u"), F.col("m").alias("v")))).alias("e"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, join_hot, mix64, release, row_of, shingle_hashes, small_batches, table, texts_of, tidy, word_hashes
+from .common import WORD, by_shuffle, cut, join_hot, mix64, release, row_of, shingle_hashes, small_batches, table, texts_of, tidy, word_hashes
 from .components import components
 
 WIDTH = 5
@@ -182,16 +182,16 @@ def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     # Rows that repeat id and text come down to one before they are shuffled.
     texts = _wanted(docs.select(_mark("doc_id", "text").alias("mark"), "text"), members).dropDuplicates(["mark"])
-    return texts.join(members, "mark").select("node", "text").mapInArrow(run, "node long, shingles binary, sig binary")
+    return texts.join(by_shuffle(members), "mark").select("node", "text").mapInArrow(run, "node long, shingles binary, sig binary")
 
 
 def _with_centres(star: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b of each edge of star (member a, centre b) whose sets are similar."""
-    loads = star.join(members.select(F.col("node").alias("a"), "n"), "a")
+    loads = star.join(by_shuffle(members.select(F.col("node").alias("a"), "n")), "a")
     large = loads.groupBy("b").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("units"), F.count("*").alias("times")).filter("units > 1")
     dealt = join_hot(loads, cut(large, "large"), "b", "times").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("units", F.lit(1))).alias("salt"))
     roles = dealt.select(F.col("a").alias("node"), "b", "salt", F.lit(1).alias("role")).unionByName(dealt.select(F.col("b").alias("node"), "b", "salt", F.lit(0).alias("role")).distinct())
-    units = roles.join(sets, "node").select("b", "salt", "role", "node", "shingles").repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
+    units = roles.join(by_shuffle(sets), "node").select("b", "salt", "role", "node", "shingles").repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = centre = None
@@ -223,8 +223,8 @@ def _between_parts(members: DataFrame, keyed: DataFrame, sets: DataFrame, percen
     if groups.isEmpty():
         return None
     most = BLOCK_SHINGLES * (COORDINATES // rows_per_band(percent))  # a set in blocks goes to as many units as there are
-    whole = members.join(groups.filter(F.col("w") <= most), "group").withColumn("group", F.concat(F.lit("g"), F.col("group").cast("string")))
-    by_band = members.join(groups.filter(F.col("w") > most).select("group"), "group", "left_semi").join(keyed, "node")
+    whole = members.join(by_shuffle(groups.filter(F.col("w") <= most)), "group").withColumn("group", F.concat(F.lit("g"), F.col("group").cast("string")))
+    by_band = members.join(by_shuffle(groups.filter(F.col("w") > most).select("group")), "group", "left_semi").join(by_shuffle(keyed), "node")
     by_band = by_band.select("node", F.concat(F.lit("k"), F.col("key").cast("string")).alias("group"), "part", "n")
     by_band = by_band.join(_several(by_band), "group")
     open_ = cut(whole.select("node", "group", "part", "n", "w").unionByName(by_band.select("node", "group", "part", "n", "w")), "open")
@@ -248,7 +248,7 @@ def _between_parts(members: DataFrame, keyed: DataFrame, sets: DataFrame, percen
     pair = lambda j: F.concat_ws(":", "group", F.least(F.col("i"), j), F.greatest(F.col("i"), j))
     units = F.when(F.col("blocks").isNotNull(), F.transform(others, pair)).otherwise(F.array(F.pmod(F.xxhash64("group"), F.lit(bins)).cast("string")))
     placed = placed.select("node", "group", "part", F.coalesce("i", F.lit(0)).alias("block"), F.explode(units).alias("unit"))
-    dealt = placed.join(sets, "node").select("unit", "group", "part", "block", "shingles", "sig").repartition("unit").sortWithinPartitions("unit", "group")
+    dealt = placed.join(by_shuffle(sets), "node").select("unit", "group", "part", "block", "shingles", "sig").repartition("unit").sortWithinPartitions("unit", "group")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, ([], [], [], [])
@@ -291,26 +291,26 @@ def _judged(docs: DataFrame, percent: int) -> DataFrame:
     # 1. coarse groups
     keyed = classes.select("node", F.explode("bands").alias("key"))
     centres = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).filter("centre <> other").select("key", "centre")
-    star = cut(keyed.join(centres, "key").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "star")
+    star = cut(keyed.join(by_shuffle(centres), "key").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "star")
     groups = _all_of(components(star), "group")
-    members = cut(groups.join(classes.select("node", "n", F.col("first.mark").alias("mark")), "node"), "members")
+    members = cut(groups.join(by_shuffle(classes.select("node", "n", F.col("first.mark").alias("mark"))), "node"), "members")
 
     # 2. and 3. links
     sets = cut(_sets(docs, members.select("node", "mark")), "sets")
     parts = cut(_all_of(components(cut(_with_centres(star, members, sets, percent), "links")), "part"), "parts")
-    apart = members.select("node", "group", "n").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    apart = members.select("node", "group", "n").join(by_shuffle(parts), "node", "left").withColumn("part", F.coalesce("part", "node"))
     more = _between_parts(apart, keyed, sets, percent)
 
     # 4. components
     linked = parts
     if more is not None:
         joined = _all_of(components(more), "whole").withColumnRenamed("node", "part")
-        alone = joined.join(parts, "part", "left_anti").select(F.col("part").alias("node"), "whole")
-        linked = cut(parts.join(joined, "part", "left").select("node", F.coalesce("whole", "part").alias("part")).unionByName(alone.withColumnRenamed("whole", "part")), "linked")
-    of = linked.join(classes.select("node", "first"), "node")
+        alone = joined.join(by_shuffle(parts), "part", "left_anti").select(F.col("part").alias("node"), "whole")
+        linked = cut(parts.join(by_shuffle(joined), "part", "left").select("node", F.coalesce("whole", "part").alias("part")).unionByName(alone.withColumnRenamed("whole", "part")), "linked")
+    of = linked.join(by_shuffle(classes.select("node", "first")), "node")
     least = of.groupBy("part").agg(F.min("first").alias("least"), F.count("*").alias("times"))
     least = join_hot(linked, cut(least, "least"), "part", "times").select("node", "least")
-    known = classes.join(least, "node", "left").select("digest", F.coalesce("least", "first").alias("first"), "copies")
+    known = classes.join(by_shuffle(least), "node", "left").select("digest", F.coalesce("least", "first").alias("first"), "copies")
     own = sketches.select("doc_id", "mark", "n_shingles", "digest")
     with_words = join_hot(own.filter("n_shingles > 0"), cut(known, "known"), "digest", "copies")
     wordless = own.filter("n_shingles = 0").withColumn("first", F.lit(None).cast(known.schema["first"].dataType))
