@@ -6,6 +6,7 @@ import random
 import pytest
 
 import plain_engine
+from weftgraph.functions import lineage
 from weftgraph.model import NodeRef, from_tables
 from weftgraph.plans import query_text as q
 from weftgraph.plans.session import Context, query, run
@@ -147,3 +148,20 @@ def test_levels_of_a_long_chain(spark):
     text = "\n".join(f"{a}->{b}" for a, b in zip(names, names[1:])) + "\nn0->n13\nx->y y->x\nx->n5x\nnode alone"
     got = {r.id: r.level for r in patterns.topological_levels(parse(text.replace(" y->x", "\ny->x")).graph(spark)).collect()}
     assert got == {**{n: k for k, n in enumerate(names)}, "alone": 0}
+
+
+def test_large_graphs_are_not_broadcast_for_the_size_of_their_files(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "MOST_BROADCAST", 3, raising=False)
+    nodes = spark.range(12).selectExpr("concat('n', id) AS id", "if(id < 8, 'a', 'b') AS kind", "if(id >= 4, 'yes', 'no') AS late")
+    edges = spark.range(11).selectExpr("id AS ord", "concat('n', id) AS src", "concat('n', id + 1) AS dst")
+    graph = from_tables(nodes, edges, {"kind": "s", "late": "s"}, {})
+
+    def made(text):
+        found = query(graph, text)
+        plans = [t._jdf.queryExecution().executedPlan().toString() for t in (found.nodes, found.edges)]
+        return {r.id for r in found.nodes.collect()}, {r.src for r in found.edges.collect()}, plans
+
+    ids, sources, plans = made("(subgraph node.kind = a) as A | (subgraph node.late = yes) as B | A ^ B")
+    assert (ids, sources) == ({f"n{k}" for k in (0, 1, 2, 3, 8, 9, 10, 11)}, {f"n{k}" for k in (0, 1, 2, 8, 9, 10)})
+    assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+    assert "BroadcastHashJoin" in made("(subgraph node.kind = a) as A | (subgraph node.id = n9) as B | A ^ B")[2][0]

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a written table up to which Spark may broadcast it if it takes it for small enough.
+MOST_BROADCAST = 100_000
+
 _written: dict[str, SparkSession] = {}
 _own: dict[str, str] = {}
 
@@ -68,6 +71,11 @@ def by_shuffle(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def by_rows(df: DataFrame) -> DataFrame:
+    """df for one side of a join: what cut() gave, of MOST_BROADCAST rows at most, as it is, all else by_shuffle()."""
+    return df if hasattr(df, "_weft_path") and df.count() <= MOST_BROADCAST else by_shuffle(df)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables that cut() gave and that no plan reads any more."""
     for df in tables:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import by_rows, cut
 from ..model import PREFIX, PGraph, merged, no_attrs, no_sets
 
 
@@ -25,7 +25,7 @@ def _alike(left: PGraph, right: PGraph) -> tuple[PGraph, PGraph]:
 
 def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """edges between nodes, whose ids are met twice and so written once."""
-    ids, names = cut(nodes.select("id")), edges.columns
+    ids, names = by_rows(cut(nodes.select("id"))), edges.columns
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*names)
 
 
@@ -74,10 +74,12 @@ def symmetric_difference(left: PGraph, right: PGraph) -> PGraph:
     """What exactly one of them has, the left one's edges first."""
     left, right = _alike(left, right)
     only = lambda a, b, key: a.join(b.select(*key), key, "left_anti")
-    nodes = only(left.nodes, right.nodes, ["id"]).unionByName(only(right.nodes, left.nodes, ["id"]))
+    # What is written of both is whole and wide, so Spark takes a few of its columns for very little.
+    (ln, rn), (le, re) = ((by_rows(left.table_of(k)), by_rows(right.table_of(k))) for k in ("node", "edge"))
+    nodes = only(left.nodes, rn, ["id"]).unionByName(only(right.nodes, ln, ["id"]))
     sets = only(left.sets, right.sets, ["id"]).unionByName(only(right.sets, left.sets, ["id"]))
     names, ends = left.edges.columns, ["src", "dst"]
-    edges = only(left.edges, right.edges, ends).select(*names).unionByName(_after(only(right.edges, left.edges, ends).select(*names), left.edges))
+    edges = only(left.edges, re, ends).select(*names).unionByName(_after(only(right.edges, le, ends).select(*names), left.edges))
     return left.with_(nodes=nodes, edges=_inside(edges, nodes), sets=sets)
 
 
