@@ -173,3 +173,17 @@ def test_no_table_is_broadcast_for_the_size_of_its_files(spark, monkeypatch):
     assert sorted(tuple(r)[:3] for r in found.collect()) == sorted(brute(rows, 85))
     for name in ("star", "members", "sets"):
         assert "SortMergeJoin" in plans[name] and "BroadcastHashJoin" not in plans[name], name
+
+
+def test_the_pipelines_stage_broadcasts_no_bands(spark, monkeypatch):
+    plans, cut = {}, nd.cut
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return cut(df, name)
+
+    monkeypatch.setattr(nd, "cut", seen)
+    rows = corpus(60)
+    kept = nd.keep_firsts(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, least in brute(rows, 80) if i == least)
+    assert "SortMergeJoin" in plans["star"] and "BroadcastHashJoin" not in plans["star"]
