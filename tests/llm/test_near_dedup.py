@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from weftgraph.llm import common
 from weftgraph.llm import near_dedup as nd
 from weftgraph.llm.components import components
 
@@ -141,7 +142,7 @@ def test_signatures_estimate_similarity():
 def test_components_of_chains_and_stars(spark, monkeypatch, hot):
     from weftgraph.llm import common
 
-    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_ROWS", least)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (500, 499)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {**{k: 0 for k in range(1, 41)}, **{k: 100 for k in range(101, 160)}, 500: 499}
@@ -187,3 +188,16 @@ def test_the_pipelines_stage_broadcasts_no_bands(spark, monkeypatch):
     kept = nd.keep_firsts(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, least in brute(rows, 80) if i == least)
     assert "SortMergeJoin" in plans["star"] and "BroadcastHashJoin" not in plans["star"]
+
+
+@pytest.mark.parametrize(("least", "broadcasts"), [(1, 2), (10_000, 0)])
+def test_rows_of_many_keys_meet_by_a_shuffle(spark, monkeypatch, least, broadcasts):
+    """Classes of all documents, read back, pass for a table small enough for a broadcast."""
+    monkeypatch.setattr(common, "MOST_HOT", 4)
+    monkeypatch.setattr(common, "HOT_ROWS", least)
+    left = spark.range(60).selectExpr("if(id < 50, id % 10, 99) AS k", "id AS v")
+    right = common.cut(spark.range(10).selectExpr("id AS k", "concat('c', id) AS name", "if(id = 0, 30L, 5L) AS times"), "right")
+    found = common.join_hot(left, right, "k", "times")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == broadcasts  # of hot keys alone
+    assert sorted((r.v, r.name) for r in found.collect()) == [(v, f"c{v % 10}" if v < 50 else None) for v in range(60)]

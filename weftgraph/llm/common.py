@@ -71,11 +71,11 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, times: str) -> DataFra
         return left.join(F.broadcast(found), key, "left").select(*left.columns, *(c for c in found.columns if c != key))
     hot = right.filter(F.col(times) >= least).drop(times)
     if hot.isEmpty():
-        return left.join(found, key, "left")
+        return left.join(by_shuffle(found), key, "left")
     names = [*left.columns, *(c for c in found.columns if c != key)]
     hot = F.broadcast(hot)
     many = left.join(hot, key).select(*names)
-    few = left.join(hot.select(key), key, "left_anti").join(found, key, "left").select(*names)
+    few = left.join(hot.select(key), key, "left_anti").join(by_shuffle(found), key, "left").select(*names)
     return many.unionByName(few)
 
 
