@@ -32,10 +32,11 @@ from pyspark.sql import types as T
 from .common import small_batches, table, texts_of, tidy
 from .tokens import default_path
 
-KEPT_BYTES, LONG_WORD = 16 << 20, 256
+KEPT_BYTES, LONG_WORD = 48 << 20, 256
 #: Bytes that a kept word takes beside its own and its ids', about.
 _EACH = 170
-KEPT_PAIRS = 50_000
+#: Pairs of tokens whose verdict is kept, of about 150 bytes each, in two generations like the words.
+KEPT_PAIRS = 200_000
 _END = "\0"  # stands behind the last symbol of a word inside the automaton; byte-level symbols never hold it
 
 
@@ -75,6 +76,7 @@ class PrefixBpe:
             self.automaton.add_word(core + _END * ends, (len(core), i))
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
+        self.fitted: dict[int, bool] = {}  # the older generation
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.held = 0  # bytes in the younger generation
@@ -104,29 +106,42 @@ class PrefixBpe:
                     return False
         return True
 
+    def fit(self, pair: int) -> bool:
+        """Whether the pair's right token may follow the left one."""
+        if len(self.fits) >= KEPT_PAIRS:
+            self.fitted, self.fits = self.fits, {}
+        ok = self.fitted.get(pair)
+        if ok is None:
+            ok = self.leaves(pair >> 32, pair & 0xFFFFFFFF)
+        self.fits[pair] = ok
+        return ok
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token, given in byte symbols."""
         n = len(word)
+        whole = self.automaton.get(word + _END, None)
+        if whole is not None:  # the first of the tokens that end with the word, with nothing before it
+            return [whole[1]]
         last, size = [0] * (n + 1), [0] * (n + 1)
         fits = self.fits
-        done = 0
         for end, (length, token) in self.automaton.iter(word + _END):
-            at = n if end == n else end + 1
-            if done >= at and end != n or end == n - 1 or size[at] and end != n:
+            at = end + 1
+            if at >= n:
+                if at == n:  # only a token with the suffix ends a word
+                    continue
+                at = n
+            if size[at]:
                 continue
-            if end == n and size[n]:
-                break
             start = at - length
             if start:
                 pair = last[start] << 32 | token
                 ok = fits.get(pair)
                 if ok is None:
-                    if len(fits) >= KEPT_PAIRS:
-                        fits.clear()
-                    ok = fits[pair] = self.leaves(last[start], token)
+                    ok = self.fit(pair)
+                    fits = self.fits
                 if not ok:
                     continue
-            last[at], size[at], done = token, length, at if end != n else done
+            last[at], size[at] = token, length
         out, at = [], n
         while at > 0:
             if not size[at]:
