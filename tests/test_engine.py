@@ -165,3 +165,17 @@ def test_large_graphs_are_not_broadcast_for_the_size_of_their_files(spark, monke
     assert (ids, sources) == ({f"n{k}" for k in (0, 1, 2, 3, 8, 9, 10, 11)}, {f"n{k}" for k in (0, 1, 2, 8, 9, 10)})
     assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
     assert "BroadcastHashJoin" in made("(subgraph node.kind = a) as A | (subgraph node.id = n9) as B | A ^ B")[2][0]
+
+
+def test_a_small_graph_does_not_deal_out_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "MOST_BROADCAST", 3, raising=False)
+    nodes = spark.range(40).selectExpr("concat('n', id) AS id", "if(id < 30, 'a', 'b') AS kind")
+    edges = spark.range(39).selectExpr("id AS ord", "concat('n', id) AS src", "concat('n', id + 1) AS dst")
+    graph = from_tables(nodes, edges, {"kind": "s"}, {})
+    for pair in ("A ^ B", "B ^ A"):
+        found = query(graph, f"(subgraph node.kind = a) as A | (subgraph node.id = n35) as B | {pair}")
+        assert "SortMergeJoin" not in found.nodes._jdf.queryExecution().executedPlan().toString()
+        assert {r.id for r in found.nodes.collect()} == {f"n{k}" for k in (*range(30), 35)}
+        assert [r.src for r in found.edges.orderBy("ord").collect()] == [f"n{k}" for k in range(29)]
+        ordered, plain = (t._jdf.queryExecution().optimizedPlan().toString() for t in (found.edges, found.edges.drop("ord")))
+        assert "scalar-subquery" in ordered and "scalar-subquery" not in plain

@@ -71,9 +71,18 @@ def by_shuffle(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def few(df: DataFrame) -> bool:
+    """Whether df is what cut() gave, of MOST_BROADCAST rows at most; the rows are counted once."""
+    if not hasattr(df, "_weft_path"):
+        return False
+    if not hasattr(df, "_weft_rows"):
+        df._weft_rows = df.count()
+    return df._weft_rows <= MOST_BROADCAST
+
+
 def by_rows(df: DataFrame) -> DataFrame:
-    """df for one side of a join: what cut() gave, of MOST_BROADCAST rows at most, as it is, all else by_shuffle()."""
-    return df if hasattr(df, "_weft_path") and df.count() <= MOST_BROADCAST else by_shuffle(df)
+    """df for one side of a join: of few() rows, as it is, all else by_shuffle()."""
+    return df if few(df) else by_shuffle(df)
 
 
 def release(*tables: DataFrame) -> None:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import by_rows, cut
+from ..functions.lineage import by_rows, by_shuffle, cut, few
 from ..model import PREFIX, PGraph, merged, no_attrs, no_sets
 
 
@@ -31,11 +31,9 @@ def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _after(edges: DataFrame, before: DataFrame) -> DataFrame:
     """edges with places in the order after those of `before`."""
-    names = edges.columns
-    last = before.agg(F.coalesce(F.max("ord") + 1, F.lit(0)).alias("_last"))
-    first = edges.agg(F.coalesce(F.min("ord"), F.lit(0)).alias("_first"))
-    moved = edges.crossJoin(F.broadcast(last)).crossJoin(F.broadcast(first))  # one row each
-    return moved.withColumn("ord", F.col("ord") - F.col("_first") + F.col("_last")).select(*names)
+    last = before.agg(F.coalesce(F.max("ord") + 1, F.lit(0))).scalar()
+    first = edges.agg(F.coalesce(F.min("ord"), F.lit(0))).scalar()
+    return edges.withColumn("ord", F.col("ord") - first + last)  # subqueries: plans that don't need the order lose them
 
 
 def union(left: PGraph, right: PGraph) -> PGraph:
@@ -70,16 +68,26 @@ def difference(left: PGraph, right: PGraph) -> PGraph:
     return left.with_(nodes=nodes, edges=_inside(edges, nodes), sets=left.sets.join(right.sets.select("id"), "id", "left_anti"))
 
 
+def _only(a: DataFrame, b: DataFrame, of_a: DataFrame, key: list[str]) -> DataFrame:
+    """a without what b has by key. of_a: a as it was written; if its rows are few, b is brought down to what they name
+    instead of being dealt out whole."""
+    if few(b):
+        met = b.select(*key)
+    elif few(of_a):
+        met = b.select(*key).join(of_a.select(*key), key, "left_semi").distinct()
+    else:
+        met = by_shuffle(b.select(*key))
+    return a.join(met, key, "left_anti").select(*a.columns)
+
+
 def symmetric_difference(left: PGraph, right: PGraph) -> PGraph:
     """What exactly one of them has, the left one's edges first."""
+    (ln, le), (rn, re) = ((g.nodes, g.edges) for g in (left, right))  # as they were written
     left, right = _alike(left, right)
-    only = lambda a, b, key: a.join(b.select(*key), key, "left_anti")
-    # What is written of both is whole and wide, so Spark takes a few of its columns for very little.
-    (ln, rn), (le, re) = ((by_rows(left.table_of(k)), by_rows(right.table_of(k))) for k in ("node", "edge"))
-    nodes = only(left.nodes, rn, ["id"]).unionByName(only(right.nodes, ln, ["id"]))
-    sets = only(left.sets, right.sets, ["id"]).unionByName(only(right.sets, left.sets, ["id"]))
+    nodes = _only(left.nodes, rn, ln, ["id"]).unionByName(_only(right.nodes, ln, rn, ["id"]))
+    sets = left.sets.join(right.sets, "id", "left_anti").unionByName(right.sets.join(left.sets, "id", "left_anti"))
     names, ends = left.edges.columns, ["src", "dst"]
-    edges = only(left.edges, re, ends).select(*names).unionByName(_after(only(right.edges, le, ends).select(*names), left.edges))
+    edges = _only(left.edges, re, le, ends).unionByName(_after(_only(right.edges, le, re, ends).select(*names), left.edges))
     return left.with_(nodes=nodes, edges=_inside(edges, nodes), sets=sets)
 
 
